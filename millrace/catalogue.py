@@ -192,7 +192,7 @@ def dedupe_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers_with_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer per order; one customer has about half of them."""
+    """A customer per order; one customer has a third of them."""
     customer = F.when(F.col("o_orderstatus") == "F", "frequent").otherwise(
         F.col("o_custkey").cast("string")
     )

@@ -21,7 +21,10 @@ def infer_csv_schema(
     values into NULL. Store the result (``schema.json()``) to spare later loads
     the pass.
     """
-    return spark.read.options(**(options or {})).csv(path, header=True, inferSchema=True).schema
+    schema = spark.read.options(**(options or {})).csv(path, header=True, inferSchema=True).schema
+    if not schema.fields:
+        raise ValueError(f"no header line in {path}")
+    return schema
 
 
 def read_csv_table(
@@ -43,10 +46,6 @@ def read_csv_table(
     long or has unreadable cells, and NULL for the rest.
     """
     reader = spark.read.options(**(options or {}))
-    # Reads the first line only.
-    if not reader.csv(path, header=True).columns:
-        raise ValueError(f"no header line in {path}")
-
     declared = schema is not None
     if schema is None:
         schema = infer_csv_schema(spark, path, options)
@@ -60,4 +59,9 @@ def read_csv_table(
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
     # Inferred names may differ from the header (repeated or empty ones are
     # renamed), so only a declared schema is held against it.
-    return reader.schema(StructType(fields)).csv(path, header=True, enforceSchema=not declared)
+    df = reader.schema(StructType(fields)).csv(path, header=True, enforceSchema=not declared)
+    # The first row shows a wrong header before a load replaces anything. Only
+    # if there is none does the header have to be looked for.
+    if declared and not df.take(1) and not spark.read.csv(path, header=True).columns:
+        raise ValueError(f"no header line in {path}")
+    return df

@@ -1,0 +1,43 @@
+import pytest
+
+from millrace.session import build_session, new_folder, object_store_conf, shared_dir
+
+
+def test_object_store_settings():
+    assert object_store_conf("http://minio:9000", "key", "secret") == {
+        "spark.hadoop.fs.s3a.endpoint": "http://minio:9000",
+        "spark.hadoop.fs.s3a.access.key": "key",
+        "spark.hadoop.fs.s3a.secret.key": "secret",
+        "spark.hadoop.fs.s3a.path.style.access": "true",
+        "spark.hadoop.fs.s3a.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
+    }
+
+
+def test_settings_reach_the_session_and_win_over_defaults(spark):
+    session = build_session("tests", {"spark.sql.session.timeZone": "UTC", "spark.app.note": "x"})
+    assert session.conf.get("spark.app.note") == "x"
+    assert session.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+class Conf(dict):
+    def get(self, key, default=None):
+        return super().get(key, default)
+
+
+def session_with(**settings):
+    conf = Conf({key.replace("_", "."): value for key, value in settings.items()})
+    return type("Session", (), {"conf": conf})()
+
+
+def test_shared_folder_is_the_one_the_cluster_names(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = session_with(spark_checkpoint_dir="hdfs://nn/shared/", spark_master="yarn")
+    assert shared_dir(named) == "hdfs://nn/shared"
+    assert new_folder(named, "x").startswith("hdfs://nn/shared/x-")
+    assert new_folder(named, "x") != new_folder(named, "x")
+
+
+def test_only_a_local_session_may_do_without():
+    assert shared_dir(session_with(spark_master="local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session_with(spark_master="yarn"))
