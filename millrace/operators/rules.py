@@ -45,9 +45,9 @@ def dedupe(*keys: str) -> Rule:
 
     The rest of the row travels as one struct. With ``dropDuplicates`` every
     column is an aggregate of its own; as soon as one is text both plans sort,
-    and the single struct was about a third faster on 4.5M rows. Each
-    map task sends at most one row per key, so a key that holds a third of the
-    table is no more work for its reducer than any other.
+    and 4.5M rows of distinct text keys took 3.1 s this way and 4.5 s that way.
+    Each map task sends at most one row per key, so a key that holds a third of
+    the table is little more work for its reducer than any other.
     """
 
     def one_per_key(df: DataFrame) -> DataFrame:

@@ -28,6 +28,24 @@ def object_store_conf(endpoint: str, access_key: str, secret_key: str) -> dict[s
     }
 
 
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Session settings for loads of about this size.
+
+    Scan tasks read 128 MB, and more only where that would make over 100,000 of
+    them. Shuffles start with a partition per 256 MB, within bounds; Spark
+    merges what turns out small. Sorts and aggregates spill, so the bounds cost
+    disk rather than memory.
+    """
+    mb = 1 << 20
+    split = min(max(128 * mb, input_bytes // 100_000), 1024 * mb)
+    partitions = min(max(200, -(-input_bytes // (256 * mb))), 32_768)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+    }
+
+
 def build_session(
     app_name: str, conf: Mapping[str, str] | None = None, master: str | None = None
 ) -> SparkSession:

@@ -12,6 +12,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 MULTILINE = {"multiLine": "true", "escape": '"'}
 
 
+def _inferred(
+    spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None
+) -> DataFrame:
+    df = spark.read.options(**(options or {})).csv(path, header=True, inferSchema=True)
+    if not df.columns:
+        raise ValueError(f"no header line in {path}")
+    return df
+
+
 def infer_csv_schema(
     spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None = None
 ) -> StructType:
@@ -21,10 +30,7 @@ def infer_csv_schema(
     values into NULL. Store the result (``schema.json()``) to spare later loads
     the pass.
     """
-    schema = spark.read.options(**(options or {})).csv(path, header=True, inferSchema=True).schema
-    if not schema.fields:
-        raise ValueError(f"no header line in {path}")
-    return schema
+    return _inferred(spark, path, options).schema
 
 
 def read_csv_table(
@@ -47,8 +53,11 @@ def read_csv_table(
     """
     reader = spark.read.options(**(options or {}))
     declared = schema is not None
-    if schema is None:
-        schema = infer_csv_schema(spark, path, options)
+    if not declared:
+        inferred = _inferred(spark, path, options)
+        if not text_columns and not corrupt_column:
+            return inferred
+        schema = inferred.schema
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     fields = [

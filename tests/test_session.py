@@ -1,6 +1,12 @@
 import pytest
 
-from millrace.session import build_session, new_folder, object_store_conf, shared_dir
+from millrace.session import (
+    build_session,
+    new_folder,
+    object_store_conf,
+    shared_dir,
+    sized_for,
+)
 
 
 def test_object_store_settings():
@@ -41,3 +47,14 @@ def test_only_a_local_session_may_do_without():
     assert shared_dir(session_with(spark_master="local[2]"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session_with(spark_master="yarn"))
+
+
+@pytest.mark.parametrize(
+    "input_bytes, split, partitions",
+    [(0, 128 << 20, 200), (1 << 40, 128 << 20, 4096), (100 * 10**12, 10**9, 32_768)],
+)
+def test_sizes(input_bytes, split, partitions):
+    settings = sized_for(input_bytes)
+    assert settings["spark.sql.files.maxPartitionBytes"] == str(split)
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert settings[initial] == str(partitions)
