@@ -7,12 +7,13 @@ to a new folder under the shared folder (see :mod:`millrace.session`).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import operators as op
-from millrace.plans import load_file, load_files, route_files
+from millrace.plans import DATASETS, load_file, load_files, route_files
 from millrace.session import new_folder
 from millrace.sinks import overwrite_parquet, publish_view
 from millrace.sources import MULTILINE, list_files, read_csv_table
@@ -417,11 +418,17 @@ def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_files(paths).drop("path")
 
 
-def loaded_from(spark: SparkSession, raw: DataFrame, file: str) -> DataFrame:
-    """The clean table that a landed file ends up as."""
+def loaded_from(
+    spark: SparkSession, raw: DataFrame, file: str, declared: bool = False
+) -> DataFrame:
+    """The clean table that a landed file ends up as, its types inferred or declared."""
     folder = new_folder(spark, "load")
     land(raw, f"{folder}/raw/{file}")
-    done = load_file(spark, f"{folder}/raw/{file}", overwrite_parquet(f"{folder}/clean"))
+    datasets = DATASETS
+    if declared:
+        datasets = [replace(dataset, schema=raw.schema) for dataset in DATASETS]
+    sink = overwrite_parquet(f"{folder}/clean")
+    done = load_file(spark, f"{folder}/raw/{file}", sink, datasets)
     return spark.read.parquet(f"{folder}/clean/{done.table_name}")
 
 
@@ -471,13 +478,14 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def load_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded_from(spark, raw_items(spark, sf_dir), "olist_order_items_dataset.csv")
+    raw = raw_items(spark, sf_dir)
+    return loaded_from(spark, raw, "olist_order_items_dataset.csv", declared=True)
 
 
 @checked_by(ORACLE_SQL["dedupe_hot_key"])
 def load_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = customers_with_hot_key(spark, sf_dir)
-    return loaded_from(spark, raw, "olist_customers_dataset.csv")
+    return loaded_from(spark, raw, "olist_customers_dataset.csv", declared=True)
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,7 +523,8 @@ def raw_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def load_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded_from(spark, raw_payments(spark, sf_dir), "olist_order_payments_dataset.csv")
+    raw = raw_payments(spark, sf_dir)
+    return loaded_from(spark, raw, "olist_order_payments_dataset.csv", declared=True)
 
 
 @checked_by(
@@ -574,20 +583,18 @@ def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overwrite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second load replaces rows and columns of the first."""
     folder = new_folder(spark, "overwrite")
-    replace = overwrite_parquet(folder)
-    replace(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "customers_data")
-    replace(
-        table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"),
-        "customers_data",
-    )
+    customers = table(spark, sf_dir, "customer")
+    sink = overwrite_parquet(folder)
+    sink(customers.select("c_custkey", "c_acctbal"), "customers_data")
+    sink(customers.select("c_custkey", "c_name", "c_mktsegment"), "customers_data")
     return spark.read.parquet(f"{folder}/customers_data")
 
 
 @checked_by("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def publish_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report reads whatever the view points at after the second load."""
-    replace = publish_view(new_folder(spark, "publish"))
     events = table(spark, sf_dir, "events")
-    replace(events.select("event_id"), "published_events_data")
-    replace(events.select("event_id", "event_type"), "published_events_data")
+    sink = publish_view(new_folder(spark, "publish"))
+    sink(events.select("event_id"), "published_events_data")
+    sink(events.select("event_id", "event_type"), "published_events_data")
     return op.count_by(spark.table("published_events_data"), "event_type")

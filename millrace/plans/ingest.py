@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from millrace.sources import read_csv_table
 
 Sink = Callable[[DataFrame, str], None]
 
+# What load_files returns.
 MANIFEST = "file string, rule string, table_name string, rows bigint"
 
 log = logging.getLogger(__name__)
@@ -39,7 +41,8 @@ def object_paths(names: str | Iterable[str], bucket: str) -> list[str]:
 
 
 def _routes(spark: SparkSession, paths: Sequence[str], datasets: Sequence[Dataset]) -> list[Row]:
-    files = spark.createDataFrame([(path,) for path in paths], "path string")
+    # From Arrow the paths become part of the plan, and no job is run for them.
+    files = spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
     return route_files(files, datasets).collect()
 
 

@@ -25,9 +25,9 @@ def publish_view(root: str) -> Callable[[DataFrame, str], None]:
 
     The swap moves no data, which renaming would on an object store, and works
     with a changed schema. A load that fails leaves the view as it was. A dot
-    in the table name separates database and view. Earlier loads stay under
-    ``<root>/<table>`` for readers still at work; expire them by the store's
-    own rules.
+    in the table name separates database and view. Other sessions see the view
+    if they share a catalog. Earlier loads stay under ``<root>/<table>`` for
+    readers still at work; expire them by the store's own rules.
     """
 
     def replace(clean: DataFrame, table: str) -> None:
