@@ -13,6 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import operators as op
+from millrace.fixed_values import (
+    CUSTOMERS,
+    ITEMS,
+    NAME_PREFIX,
+    NAME_SUFFIX,
+    ORDERS,
+    PAYMENTS,
+    PRODUCTS,
+    TABLE_POSTFIX,
+)
 from millrace.plans import DATASETS, load_file, load_files, route_files
 from millrace.session import new_folder
 from millrace.sinks import overwrite_parquet, publish_view
@@ -377,22 +387,22 @@ def list_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @checked_by(
-    """
+    f"""
     SELECT o_orderkey, file,
-           CASE WHEN contains(file, 'olist_orders_dataset') THEN 'orders'
-                WHEN contains(file, 'olist_order_items_dataset') THEN 'items'
-                WHEN contains(file, 'olist_customers_dataset') THEN 'customers'
-                WHEN contains(file, 'olist_products_dataset') THEN 'products'
-                WHEN contains(file, 'olist_order_payments_dataset') THEN 'payments'
+           CASE WHEN contains(file, '{ORDERS}') THEN 'orders'
+                WHEN contains(file, '{ITEMS}') THEN 'items'
+                WHEN contains(file, '{CUSTOMERS}') THEN 'customers'
+                WHEN contains(file, '{PRODUCTS}') THEN 'products'
+                WHEN contains(file, '{PAYMENTS}') THEN 'payments'
                 ELSE 'identity' END AS rule,
-           replace(replace(file, 'olist_', ''), '_dataset.csv', '') || '_data' AS table_name
+           replace(replace(file, '{NAME_PREFIX}', ''), '{NAME_SUFFIX}', '') || '{TABLE_POSTFIX}' AS table_name
     FROM (SELECT o_orderkey,
                  CASE o_orderstatus WHEN 'P' THEN o_custkey || '_' ELSE '' END
-                 || CASE o_orderpriority WHEN '1-URGENT' THEN 'olist_orders_dataset.csv'
-                                         WHEN '2-HIGH' THEN 'olist_order_items_dataset.csv'
-                                         WHEN '3-MEDIUM' THEN 'olist_products_dataset.csv'
-                                         WHEN '4-NOT SPECIFIED' THEN 'olist_order_payments_dataset.csv'
-                                         ELSE 'olist_olist_customers_dataset.csv' END
+                 || CASE o_orderpriority WHEN '1-URGENT' THEN '{ORDERS}.csv'
+                                         WHEN '2-HIGH' THEN '{ITEMS}.csv'
+                                         WHEN '3-MEDIUM' THEN '{PRODUCTS}.csv'
+                                         WHEN '4-NOT SPECIFIED' THEN '{PAYMENTS}.csv'
+                                         ELSE '{NAME_PREFIX}{CUSTOMERS}.csv' END
                  || CASE o_orderstatus WHEN 'F' THEN '.bak' ELSE '' END AS file
           FROM orders)
     """
@@ -401,11 +411,11 @@ def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path per order: the fragment at the front, in the middle, doubled words."""
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     name = (
-        F.when(priority == "1-URGENT", "olist_orders_dataset.csv")
-        .when(priority == "2-HIGH", "olist_order_items_dataset.csv")
-        .when(priority == "3-MEDIUM", "olist_products_dataset.csv")
-        .when(priority == "4-NOT SPECIFIED", "olist_order_payments_dataset.csv")
-        .otherwise("olist_olist_customers_dataset.csv")
+        F.when(priority == "1-URGENT", f"{ORDERS}.csv")
+        .when(priority == "2-HIGH", f"{ITEMS}.csv")
+        .when(priority == "3-MEDIUM", f"{PRODUCTS}.csv")
+        .when(priority == "4-NOT SPECIFIED", f"{PAYMENTS}.csv")
+        .otherwise(f"{NAME_PREFIX}{CUSTOMERS}.csv")
     )
     before = F.when(status == "P", F.concat("o_custkey", F.lit("_"))).otherwise("")
     after = F.when(status == "F", ".bak").otherwise("")
@@ -453,7 +463,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = loaded_from(spark, raw_orders(spark, sf_dir), "olist_orders_dataset.csv")
+    clean = loaded_from(spark, raw_orders(spark, sf_dir), f"{ORDERS}.csv")
     return clean.select(
         "order_id",
         "order_status",
@@ -479,13 +489,13 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def load_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_items(spark, sf_dir)
-    return loaded_from(spark, raw, "olist_order_items_dataset.csv", declared=True)
+    return loaded_from(spark, raw, f"{ITEMS}.csv", declared=True)
 
 
 @checked_by(ORACLE_SQL["dedupe_hot_key"])
 def load_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = customers_with_hot_key(spark, sf_dir)
-    return loaded_from(spark, raw, "olist_customers_dataset.csv", declared=True)
+    return loaded_from(spark, raw, f"{CUSTOMERS}.csv", declared=True)
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,7 +514,7 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def load_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded_from(spark, raw_products(spark, sf_dir), "olist_products_dataset.csv")
+    return loaded_from(spark, raw_products(spark, sf_dir), f"{PRODUCTS}.csv")
 
 
 def raw_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,7 +534,7 @@ def raw_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def load_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_payments(spark, sf_dir)
-    return loaded_from(spark, raw, "olist_order_payments_dataset.csv", declared=True)
+    return loaded_from(spark, raw, f"{PAYMENTS}.csv", declared=True)
 
 
 @checked_by(
@@ -546,14 +556,14 @@ def load_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @checked_by(
     f"""
-    SELECT 'olist_orders_dataset.csv' AS file, 'orders' AS rule, 'orders_data' AS table_name,
+    SELECT '{ORDERS}.csv' AS file, 'orders' AS rule, 'orders_data' AS table_name,
            count(*) AS rows FROM orders
-    UNION ALL SELECT 'olist_order_items_dataset.csv', 'items', 'order_items_data', count(*)
+    UNION ALL SELECT '{ITEMS}.csv', 'items', 'order_items_data', count(*)
         FROM lineitem WHERE l_linenumber > 3 AND l_extendedprice > 0
-    UNION ALL SELECT 'olist_customers_dataset.csv', 'customers', 'customers_data', count(*)
+    UNION ALL SELECT '{CUSTOMERS}.csv', 'customers', 'customers_data', count(*)
         FROM ({ORACLE_SQL["dedupe_hot_key"]})
-    UNION ALL SELECT 'olist_products_dataset.csv', 'products', 'products_data', count(*) FROM part
-    UNION ALL SELECT 'olist_order_payments_dataset.csv', 'payments', 'order_payments_data', count(*)
+    UNION ALL SELECT '{PRODUCTS}.csv', 'products', 'products_data', count(*) FROM part
+    UNION ALL SELECT '{PAYMENTS}.csv', 'payments', 'order_payments_data', count(*)
         FROM orders
     UNION ALL SELECT 'suppliers.csv', 'identity', 'suppliers.csv_data', count(*) FROM supplier
     """
@@ -562,11 +572,11 @@ def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find all landed files and load them; what was loaded."""
     folder = new_folder(spark, "load-all")
     landed = {
-        "olist_orders_dataset.csv": raw_orders(spark, sf_dir),
-        "olist_order_items_dataset.csv": raw_items(spark, sf_dir),
-        "olist_customers_dataset.csv": customers_with_hot_key(spark, sf_dir),
-        "olist_products_dataset.csv": raw_products(spark, sf_dir),
-        "olist_order_payments_dataset.csv": raw_payments(spark, sf_dir),
+        f"{ORDERS}.csv": raw_orders(spark, sf_dir),
+        f"{ITEMS}.csv": raw_items(spark, sf_dir),
+        f"{CUSTOMERS}.csv": customers_with_hot_key(spark, sf_dir),
+        f"{PRODUCTS}.csv": raw_products(spark, sf_dir),
+        f"{PAYMENTS}.csv": raw_payments(spark, sf_dir),
         "suppliers.csv": table(spark, sf_dir, "supplier"),
     }
     for file, raw in landed.items():

@@ -8,10 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
-# The words that file names carry and table names drop or gain.
-NAME_PREFIX = "olist_"
-NAME_SUFFIX = "_dataset.csv"
-TABLE_POSTFIX = "_data"
+from millrace.fixed_values import NAME_PREFIX, NAME_SUFFIX, TABLE_POSTFIX
 
 
 def parsed_timestamp(column: Column) -> Column:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The payment chart's column and labels.
-PAYMENT_COLUMN = "payment_type"
-PAYMENT_LABEL = "Тип оплаты"
-PAYMENT_COUNT_LABEL = "Количество заказов"
+from millrace.fixed_values import PAYMENT_COUNT_LABEL, PAYMENT_TYPE, PAYMENT_TYPE_LABEL
 
 
 def count_by(
@@ -26,4 +23,4 @@ def count_by(
 
 def payment_chart(payments: DataFrame) -> DataFrame:
     """Payments per payment type, labelled as the dashboard shows them."""
-    return count_by(payments, PAYMENT_COLUMN, PAYMENT_LABEL, PAYMENT_COUNT_LABEL)
+    return count_by(payments, PAYMENT_TYPE, PAYMENT_TYPE_LABEL, PAYMENT_COUNT_LABEL)

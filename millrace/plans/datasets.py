@@ -9,10 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.fixed_values import (
+    CATEGORY,
+    CUSTOMER,
+    CUSTOMERS,
+    ITEMS,
+    LOAD_TIME,
+    ORDERS,
+    PAYMENTS,
+    PRICE,
+    PRODUCTS,
+    PURCHASE_TIME,
+    UNKNOWN,
+)
 from millrace.functions import file_name, first_match, target_table
 from millrace.operators import (
     dedupe,
     fill_missing,
+    identity,
     keep_positive,
     parse_timestamp,
     stamp_load,
@@ -37,34 +51,28 @@ class Dataset:
     csv_options: Mapping[str, str] = field(default_factory=dict)
 
 
-# File-name fragments in the order they are tried, the columns
-# they clean, and the filler.
+# In the order their fragments are tried.
 DATASETS = (
+    Dataset("orders", ORDERS, rules=(parse_timestamp(PURCHASE_TIME), stamp_load(LOAD_TIME))),
+    Dataset("items", ITEMS, rules=(keep_positive(PRICE),)),
+    Dataset("customers", CUSTOMERS, rules=(dedupe(CUSTOMER),)),
     Dataset(
-        "orders",
-        "olist_orders_dataset",
-        rules=(parse_timestamp("order_purchase_timestamp"), stamp_load("processed_at")),
-    ),
-    Dataset("items", "olist_order_items_dataset", rules=(keep_positive("price"),)),
-    Dataset("customers", "olist_customers_dataset", rules=(dedupe("customer_id"),)),
-    Dataset(
-        "products",
-        "olist_products_dataset",
-        rules=(fill_missing({"product_category_name": "unknown"}),),
-        text_columns=("product_category_name",),
+        "products", PRODUCTS, rules=(fill_missing({CATEGORY: UNKNOWN}),), text_columns=(CATEGORY,)
     ),
-    Dataset("payments", "olist_order_payments_dataset"),
+    Dataset("payments", PAYMENTS, rules=(identity,)),
 )
 
 # For files no fragment fits: loaded as they are. To add a dataset, pass
 # ``DATASETS + (Dataset(...),)`` to the functions below; nothing here changes.
-IDENTITY = Dataset("identity", "")
+IDENTITY = Dataset("identity", "", rules=(identity,))
 
 
 def route_files(
     files: DataFrame, datasets: Sequence[Dataset] = DATASETS, path: str = "path"
 ) -> DataFrame:
     """Add ``file``, ``rule`` and ``table_name`` to a DataFrame of paths."""
+    if len({dataset.name for dataset in datasets}) < len(datasets):
+        raise ValueError("datasets need names of their own")
     choices = [(dataset.fragment, dataset.name) for dataset in datasets]
     return (
         files.withColumn("file", file_name(F.col(path)))

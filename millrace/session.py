@@ -12,7 +12,6 @@ DEFAULTS = {
     # Timestamps without a zone must mean the same on every executor.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
 

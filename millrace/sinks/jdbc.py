@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from millrace.fixed_values import POSTGRES_DRIVER
 from millrace.sources import read_jdbc_table
 
-POSTGRES_DRIVER = "org.postgresql.Driver"
 STAGING_POSTFIX = "__staging"
 
 

@@ -31,7 +31,7 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> Dat
     files = (
         lister.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(directory or "/")
+        .load(directory + "/")
         .select("path", "length", "modificationTime")
     )
     below_root = F.substr(

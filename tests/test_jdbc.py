@@ -2,6 +2,7 @@
 
 import pytest
 
+from millrace.fixed_values import ORDERS
 from millrace.plans import LoadError, load_files
 from millrace.sinks import overwrite_jdbc, staged_jdbc
 from millrace.sinks import jdbc as jdbc_sinks
@@ -133,7 +134,7 @@ def test_partitioned_read_options():
 
 
 def test_an_absent_driver_fails_the_load(spark, csv_file):
-    path = csv_file("olist_orders_dataset.csv", "order_purchase_timestamp", "2020-01-01")
+    path = csv_file(f"{ORDERS}.csv", "order_purchase_timestamp", "2020-01-01")
     with pytest.raises(LoadError) as failure:
         load_files(spark, [path], overwrite_jdbc(**ACCESS))
     assert "org.postgresql.Driver" in str(failure.value.__cause__)

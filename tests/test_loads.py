@@ -4,6 +4,15 @@ import datetime as dt
 import pytest
 from pyspark import TaskContext
 
+from millrace.fixed_values import (
+    CUSTOMERS,
+    ITEMS,
+    NAME_PREFIX,
+    NAME_SUFFIX,
+    ORDERS,
+    PAYMENTS,
+    PRODUCTS,
+)
 from millrace.plans import DATASETS, Dataset, LoadError, load_file, load_files
 from millrace.sinks import overwrite_parquet, publish_view
 
@@ -23,14 +32,14 @@ def clean(spark, tmp_path):
 
 def test_orders(spark, csv_file, clean):
     path = csv_file(
-        "olist_orders_dataset.csv",
+        f"{ORDERS}.csv",
         "order_id,order_purchase_timestamp",
         "a,2017-10-02 10:56:33",
         "b,soon",
     )
     before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     done = load_file(spark, path, clean)
-    assert tuple(done) == ("olist_orders_dataset.csv", "orders", "orders_data", 2)
+    assert tuple(done) == (f"{ORDERS}.csv", "orders", "orders_data", 2)
     table = clean.read("orders_data")
     assert values(table.drop("processed_at")) == [
         ("a", dt.datetime(2017, 10, 2, 10, 56, 33)),
@@ -42,10 +51,10 @@ def test_orders(spark, csv_file, clean):
 
 def test_items_customers_products_payments_and_others(spark, csv_file, clean):
     paths = [
-        csv_file("olist_order_items_dataset.csv", "order_id,price", "a,10.5", "b,0", "c,-1", "d,"),
-        csv_file("olist_customers_dataset.csv", "customer_id,city", "x,A", "x,A", "y,B", ",C", ",C"),
-        csv_file("olist_products_dataset.csv", "product_id,product_category_name", "p,010", "q,"),
-        csv_file("olist_order_payments_dataset.csv", "order_id,payment_type", "a,card", "a,card"),
+        csv_file(f"{ITEMS}.csv", "order_id,price", "a,10.5", "b,0", "c,-1", "d,"),
+        csv_file(f"{CUSTOMERS}.csv", "customer_id,city", "x,A", "x,A", "y,B", ",C", ",C"),
+        csv_file(f"{PRODUCTS}.csv", "product_id,product_category_name", "p,010", "q,"),
+        csv_file(f"{PAYMENTS}.csv", "order_id,payment_type", "a,card", "a,card"),
         csv_file("sellers.csv", "seller_id,zip", "s,01151"),
     ]
     manifest = load_files(spark, paths, clean)
@@ -85,7 +94,7 @@ def test_a_header_without_rows_is_an_empty_table(spark, csv_file, clean, name):
 
 
 def test_everything_filtered_out_is_an_empty_table(spark, csv_file, clean):
-    done = load_file(spark, csv_file("olist_order_items_dataset.csv", "price", "0", "-1"), clean)
+    done = load_file(spark, csv_file(f"{ITEMS}.csv", "price", "0", "-1"), clean)
     assert done.rows == 0
 
 
@@ -103,7 +112,7 @@ def test_declared_schema_and_options_of_a_dataset(spark, csv_file, clean):
 
 def test_declared_schema_of_a_known_dataset(spark, csv_file, clean):
     customers = dataclasses.replace(DATASETS[2], schema="customer_id string, zip string")
-    path = csv_file("olist_customers_dataset.csv", "customer_id,zip", "01,001", "1,002", "01,001")
+    path = csv_file(f"{CUSTOMERS}.csv", "customer_id,zip", "01,001", "1,002", "01,001")
     load_file(spark, path, clean, datasets=[customers])
     assert values(clean.read("customers_data")) == [("01", "001"), ("1", "002")]
 
@@ -116,7 +125,7 @@ def test_nothing_to_load(spark, clean):
 def test_the_first_failure_ends_the_run(spark, csv_file, clean, at_once):
     paths = [
         csv_file("first.csv", "a", "1"),
-        csv_file("olist_order_items_dataset.csv", "no_price", "1"),
+        csv_file(f"{ITEMS}.csv", "no_price", "1"),
         csv_file("last.csv", "a", "1"),
     ]
     with pytest.raises(LoadError) as failure:
@@ -177,15 +186,15 @@ def failing(df):
 def test_a_published_view_outlives_a_failed_load(spark, csv_file, tmp_path):
     sink = publish_view(str(tmp_path / "published"))
     datasets = [Dataset("bad", "bad_", rules=(failing,))]
-    load_file(spark, csv_file("olist_v_dataset.csv", "a", "1", "2"), sink)
+    load_file(spark, csv_file(f"{NAME_PREFIX}v{NAME_SUFFIX}", "a", "1", "2"), sink)
     assert spark.table("v_data").count() == 2
 
     with pytest.raises(LoadError):
-        path = csv_file("bad_olist_v_dataset.csv", "a", "9")
+        path = csv_file(f"bad_{NAME_PREFIX}v{NAME_SUFFIX}", "a", "9")
         load_files(spark, [path], lambda df, _: sink(df, "v_data"), datasets=datasets)
     assert values(spark.table("v_data")) == [(1,), (2,)]
 
-    load_file(spark, csv_file("more/olist_v_dataset.csv", "b", "x"), sink)
+    load_file(spark, csv_file(f"more/{NAME_PREFIX}v{NAME_SUFFIX}", "b", "x"), sink)
     assert values(spark.table("v_data")) == [("x",)]
 
 
