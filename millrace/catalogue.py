@@ -336,7 +336,7 @@ def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @checked_by(
     """
     SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE event_type END AS event_type,
-           CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN NULL ELSE user_id END AS user_id,
+           CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE user_id END AS user_id,
            event_type IN ('error', 'click', 'view') AS bad
     FROM events
     """
@@ -395,7 +395,8 @@ def list_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHEN contains(file, '{PRODUCTS}') THEN 'products'
                 WHEN contains(file, '{PAYMENTS}') THEN 'payments'
                 ELSE 'identity' END AS rule,
-           replace(replace(file, '{NAME_PREFIX}', ''), '{NAME_SUFFIX}', '') || '{TABLE_POSTFIX}' AS table_name
+           replace(replace(file, '{NAME_PREFIX}', ''), '{NAME_SUFFIX}', '')
+               || '{TABLE_POSTFIX}' AS table_name
     FROM (SELECT o_orderkey,
                  CASE o_orderstatus WHEN 'P' THEN o_custkey || '_' ELSE '' END
                  || CASE o_orderpriority WHEN '1-URGENT' THEN '{ORDERS}.csv'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +21,19 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> Dat
     """
     directory = directory.rstrip("/")
     root = re.sub(_SCHEME_AND_HOST, "", directory)
-    if root == directory and not root.startswith("/"):
+    if root == directory and root and not root.startswith("/"):
         raise ValueError(f"need an absolute path or a URI, not {directory!r}")
+    # As Hadoop writes it in the paths it returns.
+    root = posixpath.normpath("/" + root.strip("/")).rstrip("/")
 
-    # Tasks are sized by bytes though none are read: with the usual 128 MB a
-    # folder of 100 TB would take 800,000 tasks. In a session of its own, about
-    # one per core.
-    lister = spark.newSession()
-    lister.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 60))
     files = (
-        lister.read.format("binaryFile")
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(directory + "/")
         .select("path", "length", "modificationTime")
+        # Partitions are cut by bytes though none are read: 100 TB would be
+        # 800,000 tasks.
+        .coalesce(spark.sparkContext.defaultParallelism)
     )
     below_root = F.substr(
         F.regexp_replace("path", _SCHEME_AND_HOST, ""), F.lit(len(root) + len("/") + 1)

@@ -117,6 +117,16 @@ def test_declared_schema_of_a_known_dataset(spark, csv_file, clean):
     assert values(clean.read("customers_data")) == [("01", "001"), ("1", "002")]
 
 
+def test_cells_that_do_not_fit_a_declared_type(spark, csv_file, clean):
+    path = csv_file("counts.csv", "id,n", "a,1", "b,many")
+    lenient = Dataset("counts", "counts", schema="id string, n int")
+    strict = dataclasses.replace(lenient, csv_options={"mode": "FAILFAST"})
+    load_file(spark, path, clean, datasets=[lenient])
+    assert values(clean.read("counts.csv_data")) == [("a", 1), ("b", None)]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        load_file(spark, path, clean, datasets=[strict])
+
+
 def test_nothing_to_load(spark, clean):
     assert load_files(spark, [], clean).collect() == []
 

@@ -27,7 +27,11 @@ def routes(spark, *paths, **options):
         # Case matters.
         ("Olist_Orders_Dataset.csv", "identity", "Olist_Orders_Dataset.csv_data"),
         # Two fragments: the first in the list wins.
-        ("olist_customers_dataset_olist_orders_dataset.csv", "orders", "customers_dataset_orders_data"),
+        (
+            "olist_customers_dataset_olist_orders_dataset.csv",
+            "orders",
+            "customers_dataset_orders_data",
+        ),
     ],
 )
 def test_routes(spark, file, rule, table):
@@ -66,7 +70,10 @@ def test_routes_of_a_listing(spark, csv_file, tmp_path):
     csv_file("in/olist_products_dataset.csv", "id", "1")
     csv_file("in/lookup.csv", "id", "1")
     listed = route_files(list_files(spark, str(tmp_path / "in")))
-    assert [tuple(row) for row in listed.select("rule", "bytes").orderBy(F.desc("rule")).collect()] == [
-        ("products", 5),
-        ("identity", 5),
-    ]
+    rows = listed.select("rule", "bytes").orderBy(F.desc("rule")).collect()
+    assert [tuple(row) for row in rows] == [("products", 5), ("identity", 5)]
+
+
+def test_datasets_need_names_of_their_own(spark):
+    with pytest.raises(ValueError, match="names"):
+        routes(spark, "x.csv", datasets=DATASETS + (Dataset("orders", "x"),))

@@ -150,6 +150,8 @@ def test_listing(spark, csv_file, tmp_path):
     ]
     as_uri = list_files(spark, f"file:{folder}").collect()
     assert [f.path for f in as_uri] == [f"file:{folder}/a.csv", f"file:{folder}/parts.csv"]
+    untidy = list_files(spark, str(tmp_path) + "//x/../in").collect()
+    assert [f.file for f in untidy] == ["a.csv", "parts.csv"]
     # What is listed can be read.
     assert read_csv_table(spark, as_uri[1].path).count() == 2
 
