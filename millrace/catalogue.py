@@ -34,12 +34,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def checked_by(sql: str) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+def checked_by(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, by default under its function's name."""
 
     def register(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        ORACLE_SQL[query.__name__] = sql
+        QUERIES[name or query.__name__] = query
+        ORACLE_SQL[name or query.__name__] = sql
         return query
 
     return register
@@ -371,7 +371,8 @@ def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT 'customer.csv' AS file, count(*) > 0 AS has_bytes FROM customer
     UNION ALL SELECT 'orders.csv', count(*) > 0 FROM orders
-    """
+    """,
+    name="list_files",
 )
 def list_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only entries of the folder itself, and only with the lower-case suffix."""
@@ -406,7 +407,8 @@ def list_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          ELSE '{NAME_PREFIX}{CUSTOMERS}.csv' END
                  || CASE o_orderstatus WHEN 'F' THEN '.bak' ELSE '' END AS file
           FROM orders)
-    """
+    """,
+    name="route_files",
 )
 def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path per order: the fragment at the front, in the middle, doubled words."""

@@ -12,6 +12,8 @@ DEFAULTS = {
     # Timestamps without a zone must mean the same on every executor.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
+    # "Name" is a name and 'text' is text, so a dashboard's SQL runs as it is.
+    "spark.sql.ansi.doubleQuotedIdentifiers": "true",
 }
 
 

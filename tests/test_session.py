@@ -1,6 +1,8 @@
 import pytest
 
+from millrace.operators import payment_chart
 from millrace.session import (
+    DEFAULTS,
     build_session,
     new_folder,
     object_store_conf,
@@ -19,10 +21,33 @@ def test_object_store_settings():
     }
 
 
-def test_settings_reach_the_session_and_win_over_defaults(spark):
-    session = build_session("tests", {"spark.sql.session.timeZone": "UTC", "spark.app.note": "x"})
-    assert session.conf.get("spark.app.note") == "x"
-    assert session.conf.get("spark.sql.adaptive.enabled") == "true"
+@pytest.fixture
+def built(spark):
+    """What build_session makes of the running session, undone afterwards."""
+    yield build_session("tests", {"spark.sql.adaptive.enabled": "false", "spark.note": "x"})
+    for key in [*DEFAULTS, "spark.note"]:
+        spark.conf.unset(key)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_settings_reach_the_session_and_win_over_defaults(built):
+    assert built.conf.get("spark.note") == "x"
+    assert built.conf.get("spark.sql.adaptive.enabled") == "false"
+    assert built.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_a_dashboard_statement_runs_as_it_is(built):
+    payments = built.createDataFrame([("card",), ("card",), ("voucher",)], "payment_type string")
+    payments.createOrReplaceTempView("order_payments_data")
+    chart = built.sql(
+        """
+        SELECT payment_type AS "Тип оплаты", count(*) AS "Количество заказов"
+        FROM order_payments_data -- the table to show
+        GROUP BY payment_type ORDER BY 2 DESC;
+        """
+    )
+    assert chart.collect() == payment_chart(payments).collect()
+    assert chart.columns == ["Тип оплаты", "Количество заказов"]
 
 
 class Conf(dict):

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from millrace.catalogue import land
 from millrace.sources import MULTILINE, infer_csv_schema, list_files, read_csv_table
 
 
@@ -94,6 +96,17 @@ def test_line_breaks_and_quotes_in_fields(spark, csv_file):
     assert len(values(read_csv_table(spark, path))) == 3
 
 
+def test_any_text_survives_a_round_trip(spark, tmp_path):
+    draw = random.Random(1)
+    rows = [
+        (n, "".join(draw.choice('ab",\n\r\\ ;é#\t') for _ in range(draw.randint(1, 8))))
+        for n in range(1000)
+    ]
+    path = land(spark.createDataFrame(rows, "id int, t string"), str(tmp_path / "t.csv"))
+    df = read_csv_table(spark, path, schema="id int, t string", options=MULTILINE)
+    assert sorted(values(df)) == rows
+
+
 def test_ragged_rows_are_kept_and_can_be_told(spark, csv_file):
     path = csv_file("r.csv", "a,b", "1,2", "3", "4,5,6", "7,x")
     schema = "a int, b int"
