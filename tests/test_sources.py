@@ -59,6 +59,28 @@ def test_inferred_schema_can_be_stored_and_reused(spark, csv_file):
     assert values(read_csv_table(spark, path, schema=again)) == [(1, "x"), (2, "y")]
 
 
+def test_types_are_those_sparks_own_reader_finds(spark, csv_file):
+    csv_file(
+        "t.csv/part-0.csv",
+        "i,l,d,big,b,day,ts,mixed,zip,none,i,",
+        "1,1,1,1,true,2020-01-01,2020-01-01 10:00:00,1,01,,1,x",
+        "",
+    )
+    csv_file(
+        "t.csv/part-1.csv",
+        "i,l,d,big,b,day,ts,mixed,zip,none,i,",
+        "2,3000000000,1.5e3,99999999999999999999,FALSE,2021-12-31,2020-01-01,x,02,,-2,",
+        ",,,,,,,,,,,",
+        '3,4,-5,1,true,2020-01-01,2020-01-01T00:00:00Z,"a, b",03,,1,short',
+    )
+    for path in [csv_file("one.csv", "a,b", "1,x"), csv_file("t.csv/part-2.csv").rsplit("/", 1)[0]]:
+        expected = spark.read.csv(path, header=True, inferSchema=True)
+        assert infer_csv_schema(spark, path) == expected.schema
+        df = read_csv_table(spark, path)
+        assert df.schema == expected.schema
+        assert sorted(values(df), key=str) == sorted(values(expected), key=str)
+
+
 def test_bigint_survives_with_a_schema_only(spark, tmp_path):
     table = spark.range(3).withColumnRenamed("id", "big")
     path = str(tmp_path / "big.csv")
