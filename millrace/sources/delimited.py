@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 # Reader options for fields with line breaks and doubled quotes. Such a file
-# cannot be split: one task reads it, so land it as many files of bounded size.
+# cannot be split: one task reads it, so land it as many files of bounded size
+# and declare its schema, as inferring looks up each of them by name.
 MULTILINE = {"multiLine": "true", "escape": '"'}
 
 
