@@ -1,0 +1,147 @@
+import numpy as np
+import pandas as pd
+import zlib
+
+from millrace.llm import quality_classifier, quality_rules, urls
+from millrace.llm.textstats import repeated_words, text_stats
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_repeated_windows_count_each_word_once():
+    assert repeated_words("a b c d a b c".split()) == 6
+    assert repeated_words("a a a a".split()) == 4
+    assert repeated_words("a b c".split()) == 0
+
+
+def test_text_stats_by_hand():
+    stats = text_stats("a# b\nc, d.\nc, d.\n \n")
+    assert (stats["n_words"], stats["word_chars"], stats["n_symbols"]) == (6, 11, 1)
+    assert (stats["n_lines"], stats["n_dup_lines"], stats["n_after_itself"]) == (3, 1, 0)
+
+
+def test_the_forest_finds_what_lies_apart():
+    points = np.random.default_rng(0).normal(size=(500, 3))
+    forest = quality_rules.IsolationForest(np.concatenate([points, [[9, 9, 9]]]))
+    scores = forest.score(np.concatenate([points, [[9, 9, 9]]]))
+    assert scores[-1] > np.quantile(scores[:-1], 0.99)
+
+
+def test_op1_agrees_with_the_labels(spark):
+    result = quality_rules.op1_quality_rules(spark, SF).toPandas().set_index("doc_id")
+    labels = pd.read_parquet(f"{SF}/labels.parquet").set_index("doc_id")
+    joined = result.join(labels, how="inner")
+    rest = joined[~joined.base_failed]
+    assert rest[rest.quality == 1].kept.mean() > 0.95
+    assert rest[rest.quality == 0].kept.mean() < 0.1
+    texts = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    for doc_id in result.index[:200]:
+        stats = text_stats(texts[doc_id])
+        failed = stats["n_words"] < 50 or 100 * stats["n_repeat_words"] > 50 * stats["n_words"]
+        assert bool(result.base_failed[doc_id]) == failed
+
+
+def test_rules_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(3, None), (99, 1)], "doc_id bigint, quality int")
+    rows = quality_rules.apply_rules(odd, labels).collect()
+    assert len(rows) == 7
+    assert not [r for r in rows if r.kept]
+    assert {r.n_words for r in rows if r.doc_id in (1, 2)} == {0}
+    assert quality_rules.apply_rules(none, labels).count() == 0
+
+
+def test_op9_on_held_out_labels(spark):
+    result = quality_classifier.op9_quality_classifier(spark, SF).toPandas().set_index("doc_id")
+    assert result.score.between(0, 1).all()
+    assert ((result.score >= 0.3) == (result.predicted == 1)).all()
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in result.index]
+    assert (result.held_out == held).all()
+    labels = pd.read_parquet(f"{SF}/labels.parquet").set_index("doc_id")
+    joined = result[result.held_out].join(labels, how="inner")
+    assert joined[joined.quality == 1].predicted.mean() > 0.97
+    assert joined[joined.quality == 0].predicted.mean() < 0.4
+
+
+def test_the_prior_is_close_to_the_share():
+    random = np.random.default_rng(1)
+    points = lambda n, at: random.normal(at, 1, (n, quality_classifier.FEATURES))
+    positives = points(1000, 0.0)
+    unlabelled = np.concatenate([points(1400, 0.0), points(600, 4.0)])
+    assert abs(quality_classifier.estimate_prior(positives, unlabelled) - 0.7) < 0.08
+
+
+def test_classifier_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(3, 1), (3, 1), (None, 1)], "doc_id bigint, quality int")
+    rows = quality_classifier.classify(odd, labels).collect()
+    assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
+    assert quality_classifier.classify(none, labels.limit(0)).count() == 0
+
+
+def plain_host_and_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = rest[:cut], rest[cut:]
+    cut = min([rest.find(c) for c in "?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    return host, rest[:cut]
+
+
+def plain_rule(host, path):
+    fits = [
+        r
+        for r in urls.RULES
+        if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)
+    ]
+    return max(fits, key=lambda r: len(r.text), default=None)
+
+
+ODD_URLS = [
+    None, "", "x", "http://A.ORG/", "a://org", "a://org/", "a://org?x", "b://É.Example.org/en/1?://",
+    "http://example.org/es/a#b", "http://notexample.org/es/", "c://com/de/", "c://x.com/fr/1",
+    "c://x.com/fr", "://", "h://" + "a" * 20_000 + "/" + "b" * 20_000, "http://A.ORG/",
+]
+
+
+def test_urls_against_a_plain_program(spark):
+    pages = spark.createDataFrame(
+        list(enumerate(ODD_URLS)), "page_id bigint, url string"
+    ).selectExpr("*", "'x' AS host", "'y' AS rule")
+    rows = urls.judge(pages, [0.0] * (urls.BUCKETS + 1)).collect()
+    assert len(rows) == len(ODD_URLS)
+    for row in rows:
+        host, path = plain_host_and_path(ODD_URLS[row.page_id])
+        rule = plain_rule(host, path)
+        assert (row.host, row.path) == (host, path)
+        assert row.rule == (rule and rule.text)
+        # Weights of 0 say one half, which blocks.
+        assert row.verdict == (rule.verdict if rule else "block")
+
+
+def test_the_url_model_learns_and_repeats(spark):
+    rows = [(f"http://shop{i}.net/buy/{i}", "block") for i in range(60)]
+    rows += [(f"http://uni{i}.edu/paper/{i}", "allow") for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    weights = urls.fit(labelled)
+    assert weights == urls.fit(labelled)
+    pages = spark.createDataFrame(
+        [(1, "http://shop99.net/buy/99"), (2, "http://uni99.edu/paper/5")], "page_id int, url string"
+    )
+    verdicts = {r.page_id: r.verdict for r in urls.judge(pages, weights).collect()}
+    assert verdicts == {1: "block", 2: "allow"}
+    assert urls.judge(pages.limit(0), urls.fit(labelled.limit(0))).count() == 0
+
+
+def test_the_url_score_is_the_logistic_of_the_weights(spark):
+    weights = [0.25] + [((i * 37) % 11 - 5) / 10 for i in range(urls.BUCKETS)]
+    page = spark.createDataFrame([(1, "http://ab.c/d")], "page_id int, url string")
+
+    def grams(part, mark):
+        part = f"^{part}$"
+        return {zlib.crc32((mark + part[i : i + 3]).encode()) % urls.BUCKETS + 1 for i in range(len(part) - 2)}
+
+    own = grams("ab.c", "h") | grams("/d", "p")
+    margin = weights[0] + sum(weights[i] for i in own) / len(own) ** 0.5
+    score = urls.judge(page, weights).first().block_score
+    assert abs(score - 1 / (1 + np.exp(-margin))) < 1e-9
