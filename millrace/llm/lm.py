@@ -38,7 +38,7 @@ BATCH = 4096
 EPOCHS = 2
 RATE = 0.1
 # Tokens handled at a time, different words counted before they are sent.
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 150_000
 MAX_COUNTED = 300_000
 SMOOTHING = 0.1
 # The end of a text is a token; no word is empty.
