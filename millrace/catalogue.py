@@ -6,6 +6,7 @@ to a new folder under the shared folder (see :mod:`millrace.session`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,13 +15,18 @@ from pyspark.sql import functions as F
 
 from millrace import operators as op
 from millrace.fixed_values import (
+    CUSTOMER,
     CUSTOMERS,
     ITEMS,
     NAME_PREFIX,
     NAME_SUFFIX,
     ORDERS,
+    PAYMENT_COUNT_LABEL,
+    PAYMENT_TYPE,
+    PAYMENT_TYPE_LABEL,
     PAYMENTS,
     PRODUCTS,
+    PURCHASE_TIME,
     TABLE_POSTFIX,
 )
 from millrace.plans import DATASETS, load_file, load_files, route_files
@@ -49,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_name(name: str) -> str:
+    """A name that no other run and no real table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def land(df: DataFrame, path: str) -> str:
     """Write a table as CSV with headers, every field as it is."""
     df.write.options(
@@ -89,11 +100,12 @@ def payment_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payment_chart_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chart as a dashboard asks for it, of a table known by name."""
     events = table(spark, sf_dir, "events")
-    events.withColumnRenamed("event_type", "payment_type").createOrReplaceTempView("payments_data")
+    view = own_name("payments_data")
+    events.withColumnRenamed("event_type", PAYMENT_TYPE).createOrReplaceTempView(view)
     return spark.sql(
-        """
-        SELECT payment_type AS `Тип оплаты`, count(*) AS `Количество заказов`
-        FROM payments_data GROUP BY payment_type ORDER BY 2 DESC
+        f"""
+        SELECT {PAYMENT_TYPE} AS `{PAYMENT_TYPE_LABEL}`, count(*) AS `{PAYMENT_COUNT_LABEL}`
+        FROM {view} GROUP BY {PAYMENT_TYPE} ORDER BY 2 DESC
         """
     )
 
@@ -293,8 +305,9 @@ def csv_count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     land(table(spark, sf_dir, "events"), f"{folder}/raw/events.csv")
     loaded = load_file(spark, f"{folder}/raw/events.csv", overwrite_parquet(f"{folder}/clean"))
     events = spark.read.parquet(f"{folder}/clean/{loaded.table_name}")
-    events.createOrReplaceTempView("events_data")
-    return op.count_by(spark.table("events_data"), "event_type")
+    view = own_name("events_data")
+    events.createOrReplaceTempView(view)
+    return op.count_by(spark.table(view), "event_type")
 
 
 @checked_by("SELECT * FROM part")
@@ -424,7 +437,7 @@ def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.when(status == "F", ".bak").otherwise("")
     paths = table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        F.concat(F.lit("s3a://raw-data/"), "o_orderkey", F.lit("/"), before, name, after).alias(
+        F.concat(F.lit("s3a://landing/"), "o_orderkey", F.lit("/"), before, name, after).alias(
             "path"
         ),
     )
@@ -608,6 +621,76 @@ def publish_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report reads whatever the view points at after the second load."""
     events = table(spark, sf_dir, "events")
     sink = publish_view(new_folder(spark, "publish"))
-    sink(events.select("event_id"), "published_events_data")
-    sink(events.select("event_id", "event_type"), "published_events_data")
-    return op.count_by(spark.table("published_events_data"), "event_type")
+    view = own_name("published_events_data")
+    sink(events.select("event_id"), view)
+    sink(events.select("event_id", "event_type"), view)
+    return op.count_by(spark.table(view), "event_type")
+
+
+# --- What inference must not decide ----------------------------------------
+
+
+@checked_by(
+    """
+    SELECT DISTINCT repeat('0', (c_custkey % 3)::INT) || (c_custkey // 3) AS customer_id
+    FROM customer
+    """
+)
+def load_customers_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are different texts and may be the same number."""
+    zeros = F.repeat(F.lit("0"), (F.col("c_custkey") % 3).cast("int"))
+    key = F.concat(zeros, F.floor(F.col("c_custkey") / 3).cast("string"))
+    raw = table(spark, sf_dir, "customer").select(key.alias(CUSTOMER), "c_mktsegment")
+    return loaded_from(spark, raw, f"{CUSTOMERS}.csv").select(CUSTOMER)
+
+
+@checked_by(
+    """
+    SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN NULL
+           ELSE o_orderdate END AS order_purchase_timestamp
+    FROM orders
+    """
+)
+def load_orders_numeric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells such as 20171002 stand for no timestamp, whatever the others are."""
+    written = F.when(F.col("o_orderstatus") == "F", "20171002").otherwise(as_text("o_orderdate"))
+    raw = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"), written.alias(PURCHASE_TIME)
+    )
+    clean = loaded_from(spark, raw, f"{ORDERS}.csv")
+    return clean.select("order_id", F.col(PURCHASE_TIME).cast("timestamp_ntz").alias(PURCHASE_TIME))
+
+
+@checked_by(
+    """
+    SELECT event_id, event_type FROM events
+    """
+)
+def load_odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names with characters of a pattern mean themselves."""
+    folder = new_folder(spark, "odd[1]")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    names = ("x[1].csv", "x1.csv", "a{b}.csv")
+    for i, name in enumerate(names):
+        land(events.filter(F.col("event_id") % len(names) == i), f"{folder}/{name}")
+    found = {entry.file: entry.path for entry in list_files(spark, folder).collect()}
+    parts = [
+        read_csv_table(spark, found[name], schema=events.schema).filter(
+            F.col("event_id") % len(names) == i
+        )
+        for i, name in enumerate(names)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@checked_by(
+    """
+    SELECT o_custkey, max(o_orderkey) AS o_orderkey, 7 AS key_rank FROM orders GROUP BY o_custkey
+    """
+)
+def dedupe_latest_any_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column may be called what a rule calls its own."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", F.lit(7).alias("key_rank")
+    )
+    return orders.transform(op.dedupe_latest(["o_custkey"], ["o_orderkey"]))

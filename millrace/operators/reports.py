@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.fixed_values import PAYMENT_COUNT_LABEL, PAYMENT_TYPE, PAYMENT_TYPE_LABEL
+from millrace.operators.rules import quoted
 
 
 def count_by(
@@ -17,8 +18,8 @@ def count_by(
     table costs no more than a rare one. Ties are ordered by the key.
     """
     label = key_label or key
-    counts = df.groupBy(F.col(key).alias(label)).agg(F.count("*").alias(count_label))
-    return counts.orderBy(F.desc(count_label), F.asc(label))
+    counts = df.groupBy(F.col(quoted(key)).alias(label)).agg(F.count("*").alias(count_label))
+    return counts.orderBy(F.desc(quoted(count_label)), F.asc(quoted(label)))
 
 
 def payment_chart(payments: DataFrame) -> DataFrame:

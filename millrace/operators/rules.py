@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 from millrace.fixed_values import LOAD_TIME
 from millrace.functions import parsed_timestamp, positive
@@ -22,10 +22,18 @@ def _type_of(df: DataFrame, column: str) -> DataType:
     return df.select(column).schema[0].dataType
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parse_timestamp(column: str) -> Rule:
     """Replace a column by the timestamps it stands for, NULL where none."""
     return lambda df: df.withColumn(column, parsed_timestamp(F.col(column)))
@@ -55,13 +63,14 @@ def dedupe(*keys: str) -> Rule:
         rest = [name for name in df.columns if name not in keys]
         if not rest:
             return df.dropDuplicates(list(keys))
-        row = F.struct(*[F.col(_quoted(name)) for name in rest])
-        kept = df.groupBy(*keys).agg(F.any_value(row).alias("kept_row"))
+        row = F.struct(*[F.col(quoted(name)) for name in rest])
+        kept_row = unused_name(df, "kept_row")
+        kept = df.groupBy(*map(quoted, keys)).agg(F.any_value(row).alias(kept_row))
         # Keys are read from the grouping, so a plan that needs only them
         # drops the struct and becomes a hash aggregate.
         return kept.select(
             *[
-                F.col(_quoted(name)) if name in keys else F.col(f"kept_row.{_quoted(name)}")
+                F.col(quoted(name)) if name in keys else F.col(f"{kept_row}.{quoted(name)}")
                 for name in df.columns
             ]
         )
@@ -77,22 +86,31 @@ def dedupe_latest(keys: list[str], order_by: list[str]) -> Rule:
     """
 
     def latest_per_key(df: DataFrame) -> DataFrame:
-        newest_first = Window.partitionBy(*keys).orderBy(*[F.desc(name) for name in order_by])
-        ranked = df.withColumn("key_rank", F.row_number().over(newest_first))
-        return ranked.filter("key_rank = 1").drop("key_rank")
+        rank = unused_name(df, "key_rank")
+        newest_first = Window.partitionBy(*map(quoted, keys)).orderBy(
+            *[F.desc(quoted(name)) for name in order_by]
+        )
+        ranked = df.withColumn(rank, F.row_number().over(newest_first))
+        return ranked.filter(F.col(rank) == 1).drop(rank)
 
     return latest_per_key
 
 
-def fill_missing(values: Mapping[str, str]) -> Rule:
-    """Replace NULL by a text per column; blanks are values and stay.
+def fill_missing(values: Mapping[str, object]) -> Rule:
+    """Replace NULL by a value per column; blanks are values and stay.
 
-    A column that is not text becomes text, since the filler has no other form.
+    A column that is not text becomes text if its filler is text, since that has
+    no other form. A filler that is not text needs a column of its own kind.
     """
 
     def filled(df: DataFrame) -> DataFrame:
-        for name in values:
-            if not isinstance(_type_of(df, name), StringType):
+        for name, value in values.items():
+            column = _type_of(df, name)
+            if not isinstance(value, str):
+                wanted = BooleanType if isinstance(value, bool) else NumericType
+                if not isinstance(column, wanted):
+                    raise TypeError(f"cannot fill {name} ({column.simpleString()}) with {value!r}")
+            elif not isinstance(column, StringType):
                 df = df.withColumn(name, F.col(name).cast("string"))
         return df.na.fill(dict(values))
 

@@ -39,8 +39,10 @@ class Dataset:
     """How to read and clean the files whose name contains ``fragment``.
 
     Give ``schema`` in production: without it every load infers the types,
-    which costs a second pass over the input. ``text_columns`` stay text when
-    types are inferred.
+    which costs a second pass over the input. When types are inferred,
+    ``text_columns`` stay text and ``types`` sets those of other columns. Columns
+    that a rule names belong in one of the two: a key is a text, and the type of
+    a price must not depend on other rows.
     """
 
     name: str
@@ -48,14 +50,20 @@ class Dataset:
     rules: Sequence[Rule] = ()
     schema: StructType | str | None = None
     text_columns: Sequence[str] = ()
+    types: Mapping[str, str] = field(default_factory=dict)
     csv_options: Mapping[str, str] = field(default_factory=dict)
 
 
 # In the order their fragments are tried.
 DATASETS = (
-    Dataset("orders", ORDERS, rules=(parse_timestamp(PURCHASE_TIME), stamp_load(LOAD_TIME))),
-    Dataset("items", ITEMS, rules=(keep_positive(PRICE),)),
-    Dataset("customers", CUSTOMERS, rules=(dedupe(CUSTOMER),)),
+    Dataset(
+        "orders",
+        ORDERS,
+        rules=(parse_timestamp(PURCHASE_TIME), stamp_load(LOAD_TIME)),
+        text_columns=(PURCHASE_TIME,),
+    ),
+    Dataset("items", ITEMS, rules=(keep_positive(PRICE),), types={PRICE: "double"}),
+    Dataset("customers", CUSTOMERS, rules=(dedupe(CUSTOMER),), text_columns=(CUSTOMER,)),
     Dataset(
         "products", PRODUCTS, rules=(fill_missing({CATEGORY: UNKNOWN}),), text_columns=(CATEGORY,)
     ),

@@ -54,7 +54,8 @@ def _load(spark: SparkSession, route: Row, sink: Sink, datasets: Sequence[Datase
         spark,
         route.path,
         schema=dataset.schema,
-        text_columns=dataset.text_columns,
+        text_columns=dataset.text_columns if dataset.schema is None else (),
+        types=dataset.types if dataset.schema is None else None,
         options=dataset.csv_options,
     )
     clean = reduce(lambda df, rule: df.transform(rule), dataset.rules, raw)

@@ -63,16 +63,32 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
     Only a local session, whose executors share the driver's disk, may do
-    without the setting.
+    without the setting; it gets one for temporary files. A ``file:``
+    folder on a cluster has to be a mounted one, which only the caller can know.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="millrace-")
+    return f"{tempfile.gettempdir()}/millrace"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """What this application has written under :func:`shared_dir`."""
+    return f"{shared_dir(spark)}/millrace-{spark.conf.get('spark.app.id', 'app')}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path under :func:`shared_dir`; nothing is created."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """An unused path for scratch; nothing is created."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete all scratch of this application; say whether there was any.
+
+    Results that are not yet written or collected are lost with it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.delete(path, True)

@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from millrace.operators.rules import quoted
+from millrace.sources.paths import literal
+
 
 def overwrite_parquet(root: str) -> Callable[[DataFrame, str], None]:
     """Replace ``<root>/<table>``. The old files go before the new ones are
@@ -27,15 +30,21 @@ def publish_view(root: str) -> Callable[[DataFrame, str], None]:
     with a changed schema. A load that fails leaves the view as it was. A dot
     in the table name separates database and view. Other sessions see the view
     if they share a catalog. Earlier loads stay under ``<root>/<table>`` for
-    readers still at work; expire them by the store's own rules.
+    readers still at work; expire them by the store's own rules. A name that no
+    view can have is refused before anything is written.
     """
 
     def replace(clean: DataFrame, table: str) -> None:
+        spark, parts = clean.sparkSession, table.split(".")
+        if len(parts) > 2 or not all(parts):
+            raise ValueError(f"not a name of a view: {table!r}")
+        if len(parts) == 2 and not spark.catalog.databaseExists(quoted(parts[0])):
+            raise ValueError(f"no database {parts[0]!r} for the view {table!r}")
         location = f"{root}/{table}/{uuid.uuid4().hex}"
         clean.write.parquet(location)
-        view = ".".join(f"`{part}`" for part in table.split("."))
-        clean.sparkSession.sql(
-            f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.`{location}`"
+        view = ".".join(map(quoted, parts))
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.{quoted(literal(location))}"
         )
 
     return replace

@@ -24,6 +24,11 @@ def overwrite_jdbc(
     target = {"url": url, "user": user, "password": password, "driver": driver, **options}
 
     def replace(clean: DataFrame, table: str) -> None:
+        most = {key.lower(): value for key, value in options.items()}.get("numpartitions")
+        if most:
+            # Spark would merge partitions down to that number, and with them
+            # the tasks that read and clean.
+            clean = clean.repartition(int(most))
         clean.write.format("jdbc").options(dbtable=table, **target).mode("overwrite").save()
 
     return replace

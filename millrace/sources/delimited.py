@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
+
+from millrace.sources.paths import literals
 
 # Reader options for fields with line breaks and doubled quotes. Such a file
 # cannot be split: one task reads it, so land it as many files of bounded size
@@ -23,6 +25,7 @@ def infer_csv_schema(
     the pass.
     """
     reader = spark.read.options(**(options or {})).options(header="true", inferSchema="true")
+    path = literals(path)
     if options:
         # Line ends and encoding may differ from those of plain text.
         schema = reader.csv(path).schema
@@ -39,20 +42,31 @@ def infer_csv_schema(
     return schema
 
 
+def _named_as_in_header(
+    spark: SparkSession, path: str | list[str], names: list[str], options: Mapping[str, str] | None
+) -> bool:
+    """Whether the header has these names; repeated and empty ones are renamed."""
+    first = spark.read.options(**(options or {})).csv(literals(path), header=False).first()
+    return first is not None and list(first) == names
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str | list[str],
     schema: StructType | str | None = None,
     text_columns: Collection[str] = (),
+    types: Mapping[str, str] | None = None,
     corrupt_column: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Read a file, a folder of part files, or a list of either.
 
     Without ``schema`` the types are inferred, which reads the input twice;
-    ``text_columns`` keep their text whatever it looks like. With ``schema`` (a
-    ``StructType`` or DDL text) the input is read once, and a header that does
-    not match it is an error.
+    ``text_columns`` keep their text whatever it looks like, and ``types`` gives
+    single columns a type (names are compared as Spark does, in any case). With
+    ``schema`` (a ``StructType`` or DDL text) the input is read once. Either way
+    a part file whose header differs is an error, unless names are repeated or
+    empty and the types inferred.
 
     ``corrupt_column`` adds the raw line of every row that is too short, too
     long or has unreadable cells, and NULL for the rest.
@@ -63,18 +77,24 @@ def read_csv_table(
         schema = infer_csv_schema(spark, path, options)
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
+    given = {name.lower(): "string" for name in text_columns}
+    given |= {name.lower(): kind for name, kind in (types or {}).items()}
     fields = [
-        StructField(f.name, StringType()) if f.name in text_columns else f for f in schema.fields
+        StructField(f.name, DataType.fromDDL(given[f.name.lower()]))
+        if f.name.lower() in given
+        else f
+        for f in schema.fields
     ]
+    checked = declared or _named_as_in_header(spark, path, schema.names, options)
     if corrupt_column:
         fields.append(StructField(corrupt_column, StringType()))
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    # Inferred names may differ from the header (repeated or empty ones are
-    # renamed), so only a declared schema is held against it.
-    df = reader.schema(StructType(fields)).csv(path, header=True, enforceSchema=not declared)
+    df = reader.schema(StructType(fields)).csv(
+        literals(path), header=True, enforceSchema=not checked
+    )
     # The first row shows a wrong header before a load replaces anything. Only
     # if there is none does the header have to be looked for.
     if declared and not df.take(1):
-        if not spark.read.text(path).filter("trim(value) != ''").take(1):
+        if not spark.read.text(literals(path)).filter("trim(value) != ''").take(1):
             raise ValueError(f"no header line in {path}")
     return df

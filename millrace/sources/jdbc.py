@@ -19,9 +19,12 @@ def read_jdbc_table(
 
     With ``partition_column`` the read is split into ``partitions`` ranges
     between ``lower`` and ``upper``, one connection each; rows outside the
-    bounds fall to the first and last range. Without it one task reads all:
-    leave that to queries with a small answer, such as a grouped count.
+    bounds fall to the first and last range. Without it one task reads all, so
+    that is for bracketed queries with a small answer, such as a grouped count;
+    a table by name is refused.
     """
+    if not partition_column and not table.lstrip().startswith("("):
+        raise ValueError(f"name a partition column to read {table}")
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if partition_column:
         reader = reader.options(

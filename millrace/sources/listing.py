@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.paths import literal
+
 _SCHEME_AND_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
@@ -29,7 +31,7 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> Dat
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(directory + "/")
+        .load(literal(directory) + "/")
         .select("path", "length", "modificationTime")
         # Partitions are cut by bytes though none are read: 100 TB would be
         # 800,000 tasks.

@@ -40,6 +40,11 @@ class Frame:
     def __init__(self, writer):
         self.write = writer
         self.sparkSession = None
+        self.dealt_to = None
+
+    def repartition(self, partitions):
+        self.dealt_to = partitions
+        return self
 
 
 ACCESS = {"url": "jdbc:postgresql://db:5432/dwh", "user": "me", "password": "secret"}
@@ -47,7 +52,9 @@ ACCESS = {"url": "jdbc:postgresql://db:5432/dwh", "user": "me", "password": "sec
 
 def test_overwrite_options():
     writer = Recorder()
-    overwrite_jdbc(**ACCESS, numPartitions="16", batchsize="10000")(Frame(writer), "orders_data")
+    frame = Frame(writer)
+    overwrite_jdbc(**ACCESS, numPartitions="16", batchsize="10000")(frame, "orders_data")
+    assert frame.dealt_to == 16  # a shuffle, so reading stays as wide as it is
     assert writer.seen == {
         "format": "jdbc",
         "dbtable": "orders_data",
@@ -138,3 +145,8 @@ def test_an_absent_driver_fails_the_load(spark, csv_file):
     with pytest.raises(LoadError) as failure:
         load_files(spark, [path], overwrite_jdbc(**ACCESS))
     assert "org.postgresql.Driver" in str(failure.value.__cause__)
+
+
+def test_a_table_in_one_task_is_refused():
+    with pytest.raises(ValueError, match="partition column"):
+        read_jdbc_table(None, "jdbc:x", "orders_data")

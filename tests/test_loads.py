@@ -210,8 +210,9 @@ def test_a_published_view_outlives_a_failed_load(spark, csv_file, tmp_path):
 
 def test_a_dot_in_a_view_name_names_a_database(spark, csv_file, tmp_path):
     sink = publish_view(str(tmp_path / "published"))
-    with pytest.raises(Exception, match="SCHEMA_NOT_FOUND"):
+    with pytest.raises(ValueError, match="no database"):
         load_file(spark, csv_file("lookup.csv", "a", "1"), sink)
+    assert not (tmp_path / "published").exists()
     spark.sql("CREATE DATABASE lookup")
     load_file(spark, csv_file("lookup.csv", "a", "1"), sink)
     assert spark.table("lookup.csv_data").count() == 1

@@ -56,12 +56,12 @@ def test_a_dataset_is_added_without_a_change_here(spark):
 
 
 def test_object_paths():
-    expected = ["s3a://raw-data/a.csv", "s3a://raw-data/b.csv"]
-    assert object_paths(["a.csv", "b.csv"], "raw-data") == expected
-    assert object_paths('["a.csv", "b.csv"]', "raw-data") == expected
-    assert object_paths("[]", "raw-data") == []
+    expected = ["s3a://landing/a.csv", "s3a://landing/b.csv"]
+    assert object_paths(["a.csv", "b.csv"], "landing") == expected
+    assert object_paths('["a.csv", "b.csv"]', "landing") == expected
+    assert object_paths("[]", "landing") == []
     with pytest.raises(ValueError):
-        object_paths("[a.csv", "raw-data")
+        object_paths("[a.csv", "landing")
 
 
 def test_routes_of_a_listing(spark, csv_file, tmp_path):

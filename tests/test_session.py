@@ -12,8 +12,8 @@ from millrace.session import (
 
 
 def test_object_store_settings():
-    assert object_store_conf("http://minio:9000", "key", "secret") == {
-        "spark.hadoop.fs.s3a.endpoint": "http://minio:9000",
+    assert object_store_conf("http://store.test:9000", "key", "secret") == {
+        "spark.hadoop.fs.s3a.endpoint": "http://store.test:9000",
         "spark.hadoop.fs.s3a.access.key": "key",
         "spark.hadoop.fs.s3a.secret.key": "secret",
         "spark.hadoop.fs.s3a.path.style.access": "true",
@@ -64,7 +64,7 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     named = session_with(spark_checkpoint_dir="hdfs://nn/shared/", spark_master="yarn")
     assert shared_dir(named) == "hdfs://nn/shared"
-    assert new_folder(named, "x").startswith("hdfs://nn/shared/x-")
+    assert new_folder(named, "x").startswith("hdfs://nn/shared/millrace-app/x-")
     assert new_folder(named, "x") != new_folder(named, "x")
 
 
