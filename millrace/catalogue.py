@@ -346,16 +346,8 @@ def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_table(spark, path, schema=documents.schema, options=MULTILINE)
 
 
-@checked_by(
-    """
-    SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE event_type END AS event_type,
-           CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE user_id END AS user_id,
-           event_type IN ('error', 'click', 'view') AS bad
-    FROM events
-    """
-)
-def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short rows, long rows and unreadable cells, by event type."""
+def ragged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short rows, long rows and unreadable cells, by event type; ``raw_line`` tells."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     cells = (
         F.when(kind == "error", F.array("event_id"))
@@ -371,30 +363,62 @@ def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "ragged.csv")
     # One column without commas to quote by: lines and header come out as they are.
     lines.write.options(sep="\x01", quote="").csv(path, header=True)
-    read = read_csv_table(
+    return read_csv_table(
         spark,
         path,
         schema="event_id bigint, event_type string, user_id bigint",
         corrupt_column="raw_line",
     )
+
+
+@checked_by(
+    """
+    SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE event_type END AS event_type,
+           CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE user_id END AS user_id,
+           event_type IN ('error', 'click', 'view') AS bad
+    FROM events
+    """
+)
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = ragged_events(spark, sf_dir)
     return read.withColumn("bad", F.col("raw_line").isNotNull()).drop("raw_line")
 
 
 @checked_by(
     """
-    SELECT 'customer.csv' AS file, count(*) > 0 AS has_bytes FROM customer
-    UNION ALL SELECT 'orders.csv', count(*) > 0 FROM orders
+    SELECT CASE event_type WHEN 'error' THEN NULL ELSE event_type END AS event_type,
+           count(*) AS n_bad
+    FROM events
+    WHERE event_type IN ('error', 'click', 'view')
+    GROUP BY 1
+    """
+)
+def csv_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad lines per event type, with no other column selected."""
+    bad = ragged_events(spark, sf_dir).select("event_type", "raw_line").filter("raw_line IS NOT NULL")
+    return bad.groupBy("event_type").agg(F.count("*").alias("n_bad"))
+
+
+@checked_by(
+    """
+    SELECT 'customer.csv' AS file, 2 AS parts, 2 * (count(*) + 2) AS bytes FROM customer
+    UNION ALL SELECT 'orders.csv', 3, 2 * (count(*) + 3) FROM orders
     """,
     name="list_files",
 )
 def list_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only entries of the folder itself, and only with the lower-case suffix."""
     folder = new_folder(spark, "landing")
-    land(table(spark, sf_dir, "customer"), f"{folder}/customer.csv")
-    land(table(spark, sf_dir, "orders"), f"{folder}/orders.csv")
-    land(table(spark, sf_dir, "part"), f"{folder}/PART.CSV")
-    land(table(spark, sf_dir, "supplier"), f"{folder}/deeper/supplier.csv")
-    return list_files(spark, folder).select("file", (F.col("bytes") > 0).alias("has_bytes"))
+    for name, file, parts in [
+        ("customer", "customer.csv", 2),
+        ("orders", "orders.csv", 3),
+        ("part", "PART.CSV", 1),
+        ("supplier", "deeper/supplier.csv", 1),
+    ]:
+        # Two bytes a line, and the header again in each part.
+        lines = table(spark, sf_dir, name).select(F.lit("x").alias("c"))
+        land(lines.repartition(parts), f"{folder}/{file}")
+    return list_files(spark, folder).select("file", "parts", "bytes")
 
 
 # --- Routing and loads -----------------------------------------------------

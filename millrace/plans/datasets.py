@@ -42,7 +42,9 @@ class Dataset:
     which costs a second pass over the input. When types are inferred,
     ``text_columns`` stay text and ``types`` sets those of other columns. Columns
     that a rule names belong in one of the two: a key is a text, and the type of
-    a price must not depend on other rows.
+    a price must not depend on other rows. With ``infer=False`` all columns but
+    those of ``types`` are text, and a load reads the header and then its input
+    once.
     """
 
     name: str
@@ -52,6 +54,7 @@ class Dataset:
     text_columns: Sequence[str] = ()
     types: Mapping[str, str] = field(default_factory=dict)
     csv_options: Mapping[str, str] = field(default_factory=dict)
+    infer: bool = True
 
 
 # In the order their fragments are tried.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from functools import reduce
+from threading import Thread
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
@@ -21,15 +22,24 @@ Sink = Callable[[DataFrame, str], None]
 # What load_files returns.
 MANIFEST = "file string, rule string, table_name string, rows bigint"
 
+# Seconds in which the count of rows has to follow the write.
+COUNT_WAIT = 60.0
+
 log = logging.getLogger(__name__)
 
 
 class LoadError(RuntimeError):
-    """A load that failed; ``loaded`` are the manifest rows finished before."""
+    """Loads that failed: ``failures`` has the error of each path, in order.
+
+    ``path`` is the first of them, and ``loaded`` are the manifest rows of the
+    files that were finished.
+    """
 
-    def __init__(self, path: str, loaded: Sequence[Row]):
-        super().__init__(f"could not load {path}; {len(loaded)} files were loaded before")
-        self.path = path
+    def __init__(self, failures: Mapping[str, BaseException], loaded: Sequence[Row]):
+        paths = ", ".join(failures)
+        super().__init__(f"could not load {paths}; {len(loaded)} files were loaded")
+        self.failures = dict(failures)
+        self.path = next(iter(failures))
         self.loaded = list(loaded)
 
 
@@ -46,6 +56,18 @@ def _routes(spark: SparkSession, paths: Sequence[str], datasets: Sequence[Datase
     return route_files(files, datasets).collect()
 
 
+def _counted(written: Observation, path: str) -> int:
+    """The rows that the sink wrote. Spark reports them soon after the write; for
+    a sink that ran no job they would never come."""
+    found: list[int] = []
+    waiting = Thread(target=lambda: found.append(written.get["rows"]), daemon=True)
+    waiting.start()
+    waiting.join(COUNT_WAIT)
+    if not found:
+        raise RuntimeError(f"the sink for {path} returned without having written its rows")
+    return found[0]
+
+
 def _load(spark: SparkSession, route: Row, sink: Sink, datasets: Sequence[Dataset]) -> Row:
     dataset = next((known for known in datasets if known.name == route.rule), IDENTITY)
     if dataset is IDENTITY:
@@ -57,12 +79,13 @@ def _load(spark: SparkSession, route: Row, sink: Sink, datasets: Sequence[Datase
         text_columns=dataset.text_columns if dataset.schema is None else (),
         types=dataset.types if dataset.schema is None else None,
         options=dataset.csv_options,
+        infer=dataset.infer,
     )
     clean = reduce(lambda df, rule: df.transform(rule), dataset.rules, raw)
     # Counted in the stage that writes, where a repeated task counts once.
     written = Observation()
     sink(clean.observe(written, F.count(F.lit(1)).alias("rows")), route.table_name)
-    rows = written.get["rows"]
+    rows = _counted(written, route.path)
     log.info("%s -> %s: %d rows", route.file, route.table_name, rows)
     return Row(file=route.file, rule=route.rule, table_name=route.table_name, rows=rows)
 
@@ -83,10 +106,10 @@ def load_files(
 ) -> DataFrame:
     """Load files and return the manifest: file, rule, table and rows written.
 
-    Files are taken in order, ``at_once`` side by side, so that small ones need
-    not leave a large cluster idle. A failure ends the run with
-    :class:`LoadError` before the next files are begun; tables already written
-    stay.
+    Files are taken in order, ``at_once`` side by side, and the next is begun as
+    soon as one is done, so that neither small nor large ones leave a cluster
+    idle. After a failure no file is begun; those under way are finished, and
+    :class:`LoadError` tells of all. Tables already written stay.
     """
     routes = _routes(spark, paths, datasets)
     tables = [route.table_name for route in routes]
@@ -94,16 +117,23 @@ def load_files(
         raise ValueError("two files fill the same table: load them one at a time")
 
     load = inheritable_thread_target(spark)(_load)
-    loaded: list[Row] = []
+    jobs: list[Future] = []
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        for start in range(0, len(routes), at_once):
-            jobs = [
-                (route, pool.submit(load, spark, route, sink, datasets))
-                for route in routes[start : start + at_once]
-            ]
-            failed = [(route, job.exception()) for route, job in jobs if job.exception()]
-            loaded += [job.result() for _, job in jobs if not job.exception()]
-            if failed:
-                route, error = failed[0]
-                raise LoadError(route.path, loaded) from error
+        running: set[Future] = set()
+        for route in routes:
+            if len(running) == at_once:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                if any(job.exception() for job in done):
+                    break
+            jobs.append(pool.submit(load, spark, route, sink, datasets))
+            running.add(jobs[-1])
+    # Leaving the pool has waited for those still under way.
+    loaded = [job.result() for job in jobs if not job.exception()]
+    failures = {
+        route.path: job.exception()
+        for route, job in zip(routes, jobs, strict=False)
+        if job.exception()
+    }
+    if failures:
+        raise LoadError(failures, loaded) from next(iter(failures.values()))
     return spark.createDataFrame(loaded, MANIFEST)

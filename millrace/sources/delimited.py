@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
+from millrace.operators.rules import quoted
 from millrace.sources.paths import literals
 
 # Reader options for fields with line breaks and doubled quotes. Such a file
@@ -15,28 +17,49 @@ from millrace.sources.paths import literals
 MULTILINE = {"multiLine": "true", "escape": '"'}
 
 
+# With these a line of the file is not a line of plain text.
+_NEEDS_FILES = {"multiline", "linesep", "encoding", "charset"}
+_LEAST_LONG = -(2**63)
+
+
+def _parsed(
+    spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None, **more: str
+) -> DataFrame:
+    """What Spark makes of the files when it is told no schema.
+
+    Given a path, Spark lists the folder and then looks up each file by name
+    again, 4 ms each: an hour for 800,000 part files. Given the lines it makes
+    the same of them. Python's reader does not take a DataFrame of lines, the
+    JVM's does; a client without a JVM, and options that change what a line is,
+    get the slow way.
+    """
+    reader = spark.read.options(**(options or {})).options(**more)
+    path = literals(path)
+    if not _NEEDS_FILES & {name.lower() for name in options or {}}:
+        # Options such as a limit on the time of change choose files here too.
+        lines = spark.read.options(**(options or {})).text(path).select("value")
+        try:
+            as_strings = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+            return DataFrame(reader._jreader.csv(as_strings), spark)
+        except AttributeError:
+            pass
+    return reader.csv(path)
+
+
 def infer_csv_schema(
-    spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    options: Mapping[str, str] | None = None,
+    all_text: bool = False,
 ) -> StructType:
     """The types the whole input fits; one full pass over it.
 
     There is no sampling: a type that only the sample fits would turn the other
     values into NULL. Store the result (``schema.json()``) to spare later loads
-    the pass.
+    the pass. With ``all_text`` every column is text, and only the header read.
     """
-    reader = spark.read.options(**(options or {})).options(header="true", inferSchema="true")
-    path = literals(path)
-    if options:
-        # Line ends and encoding may differ from those of plain text.
-        schema = reader.csv(path).schema
-    else:
-        # Given the path, Spark lists the folder and then looks up each file by
-        # name again, 4 ms each: an hour for 800,000 part files. Given the
-        # lines it makes the same of them. Python's reader does not take a
-        # DataFrame of lines, the JVM's does.
-        lines = spark.read.text(path).select("value")
-        as_strings = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-        schema = DataFrame(reader._jreader.csv(as_strings), spark).schema
+    infer = "false" if all_text else "true"
+    schema = _parsed(spark, path, options, header="true", inferSchema=infer).schema
     if not schema.fields:
         raise ValueError(f"no header line in {path}")
     return schema
@@ -46,7 +69,7 @@ def _named_as_in_header(
     spark: SparkSession, path: str | list[str], names: list[str], options: Mapping[str, str] | None
 ) -> bool:
     """Whether the header has these names; repeated and empty ones are renamed."""
-    first = spark.read.options(**(options or {})).csv(literals(path), header=False).first()
+    first = _parsed(spark, path, options, header="false", inferSchema="false").first()
     return first is not None and list(first) == names
 
 
@@ -58,23 +81,26 @@ def read_csv_table(
     types: Mapping[str, str] | None = None,
     corrupt_column: str | None = None,
     options: Mapping[str, str] | None = None,
+    infer: bool = True,
 ) -> DataFrame:
     """Read a file, a folder of part files, or a list of either.
 
     Without ``schema`` the types are inferred, which reads the input twice;
     ``text_columns`` keep their text whatever it looks like, and ``types`` gives
     single columns a type (names are compared as Spark does, in any case). With
-    ``schema`` (a ``StructType`` or DDL text) the input is read once. Either way
+    ``infer=False`` columns without a type are text; then, and with ``schema``
+    (a ``StructType`` or DDL text), the input is read once. Either way
     a part file whose header differs is an error, unless names are repeated or
-    empty and the types inferred.
+    empty and no schema is given.
 
     ``corrupt_column`` adds the raw line of every row that is too short, too
-    long or has unreadable cells, and NULL for the rest.
+    long or has unreadable cells, and NULL for the rest, whichever columns are
+    selected later. For that every column is parsed whenever it is used.
     """
     reader = spark.read.options(**(options or {}))
     declared = schema is not None
     if not declared:
-        schema = infer_csv_schema(spark, path, options)
+        schema = infer_csv_schema(spark, path, options, all_text=not infer)
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     given = {name.lower(): "string" for name in text_columns}
@@ -97,4 +123,10 @@ def read_csv_table(
     if declared and not df.take(1):
         if not spark.read.text(literals(path)).filter("trim(value) != ''").take(1):
             raise ValueError(f"no header line in {path}")
+    if corrupt_column and len(fields) > 1:
+        # A scan flags what it notices in the columns it reads. The comparison
+        # always holds, but Spark cannot know that, so it reads them all.
+        cells = F.xxhash64(*[quoted(f.name) for f in fields[:-1]])
+        flag = F.when(cells >= F.lit(_LEAST_LONG), F.col(quoted(corrupt_column)))
+        df = df.withColumn(corrupt_column, flag)
     return df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 def literal(path: str) -> str:
     """A path that means one entry: characters of a pattern stand for themselves."""
@@ -12,3 +14,18 @@ def literal(path: str) -> str:
 
 def literals(path: str | list[str]) -> str | list[str]:
     return literal(path) if isinstance(path, str) else [literal(one) for one in path]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name; needs the driver's JVM."""
+    entry = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return entry.getFileSystem(spark._jsc.hadoopConfiguration()).exists(entry)
+
+
+def file_count(files: DataFrame) -> int:
+    """The files that a scan reads; counted without fetching their names, where
+    there is a JVM to ask."""
+    try:
+        return len(files._jdf.inputFiles())
+    except AttributeError:
+        return len(files.inputFiles())

@@ -1,5 +1,6 @@
 import dataclasses
 import datetime as dt
+import threading
 
 import pytest
 from pyspark import TaskContext
@@ -131,15 +132,14 @@ def test_nothing_to_load(spark, clean):
     assert load_files(spark, [], clean).collect() == []
 
 
-@pytest.mark.parametrize("at_once", [1, 2])
-def test_the_first_failure_ends_the_run(spark, csv_file, clean, at_once):
+def test_the_first_failure_ends_the_run(spark, csv_file, clean):
     paths = [
         csv_file("first.csv", "a", "1"),
         csv_file(f"{ITEMS}.csv", "no_price", "1"),
         csv_file("last.csv", "a", "1"),
     ]
     with pytest.raises(LoadError) as failure:
-        load_files(spark, paths, clean, at_once=at_once)
+        load_files(spark, paths, clean)
     assert failure.value.path == paths[1]
     assert [row.table_name for row in failure.value.loaded] == ["first.csv_data"]
     assert "no_price" in str(failure.value.__cause__)
@@ -148,6 +148,64 @@ def test_the_first_failure_ends_the_run(spark, csv_file, clean, at_once):
         clean.read("last.csv_data")
 
 
+def test_a_sink_that_writes_nothing_is_a_failure(spark, csv_file, monkeypatch):
+    monkeypatch.setattr("millrace.plans.ingest.COUNT_WAIT", 1.0)
+    path = csv_file("a.csv", "a", "1")
+    with pytest.raises(RuntimeError, match="without having written"):
+        load_file(spark, path, lambda df, name: df.createOrReplaceTempView("unwritten"))
+
+
+def test_a_slow_load_does_not_hold_others_back(spark, csv_file, clean):
+    others_done = threading.Event()
+    done = []
+
+    def sink(df, name):
+        if name == "t0.csv_data":
+            # Without a free slot for the rest this would time out.
+            assert others_done.wait(60)
+        clean(df, name)
+        done.append(name)
+        if len(done) == 3:
+            others_done.set()
+
+    paths = [csv_file(f"t{n}.csv", "a", "1") for n in range(4)]
+    manifest = load_files(spark, paths, sink, at_once=2).collect()
+    assert [row.file for row in manifest] == [f"t{n}.csv" for n in range(4)]
+
+
+def test_all_failures_of_a_run_are_told(spark, csv_file, clean):
+    both_begun = threading.Barrier(2)
+
+    def sink(df, name):
+        both_begun.wait(60)
+        raise OSError(name)
+
+    paths = [csv_file(f"t{n}.csv", "a", "1") for n in range(4)]
+    with pytest.raises(LoadError) as failure:
+        load_files(spark, paths, sink, at_once=2)
+    assert list(failure.value.failures) == paths[:2]
+    assert [str(e) for e in failure.value.failures.values()] == ["t0.csv_data", "t1.csv_data"]
+    assert failure.value.path == paths[0] and failure.value.loaded == []
+
+
+def test_a_load_without_inference_scans_its_input_once(spark, csv_file, clean):
+    csv_file("once.csv/a.csv", "k,v", *["1,2"] * 10)
+    path = csv_file("once.csv/b.csv", "k,v", *["3,4"] * 10).rsplit("/", 1)[0]
+    once = Dataset("once", "once", types={"v": "int"}, infer=False)
+    group = "one-pass"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        assert load_file(spark, path, clean, datasets=[once]).rows == 20
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    # One-task jobs that take the first line, for names and header; then the load.
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in sorted(tracker.getJobIdsForGroup(group))]
+    tasks = [tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+    assert tasks == [1, 1, 1, 2]
+    assert clean.read("once.csv_data").dtypes == [("k", "string"), ("v", "int")]
+
+
 @pytest.mark.parametrize("path", ["/absent/a.csv", "s3a://bucket/a.csv"])
 def test_an_unreachable_file_is_a_failure(spark, clean, path):
     with pytest.raises(LoadError, match="could not load"):

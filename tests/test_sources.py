@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameReader
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.catalogue import land
@@ -142,6 +143,42 @@ def test_ragged_rows_are_kept_and_can_be_told(spark, csv_file):
     assert [row.raw_line for row in told.collect()] == [None, "3", "4,5,6", "7,x"]
 
 
+def test_every_selection_flags_the_same_rows(spark, csv_file):
+    path = csv_file("r.csv", "a,b", "1,2", "3", "4,5,6", "7,x")
+    told = read_csv_table(spark, path, schema="a int, b int", corrupt_column="raw")
+    for columns in [["a", "b", "raw"], ["a", "raw"], ["b", "raw"], ["raw"]]:
+        assert told.select(columns).filter("raw IS NOT NULL").count() == 3
+        assert [row.raw for row in told.select(columns).collect()] == [None, "3", "4,5,6", "7,x"]
+    assert told.filter("raw IS NULL").count() == 1
+    assert values(told.filter("a > 3").select("raw")) == [("4,5,6",), ("7,x",)]
+
+
+def test_columns_without_a_type_can_be_text(spark, csv_file):
+    path = csv_file("t.csv", "Id,zip,price", "1,01,0.5", "2,02,x")
+    df = read_csv_table(spark, path, types={"PRICE": "double"}, infer=False)
+    assert df.dtypes == [("Id", "string"), ("zip", "string"), ("price", "double")]
+    assert values(df) == [("1", "01", 0.5), ("2", "02", None)]
+    empty = csv_file("u.csv", "a,b")
+    assert values(read_csv_table(spark, empty, infer=False)) == []
+    with pytest.raises(ValueError, match="no header line"):
+        read_csv_table(spark, csv_file("zero.csv"), infer=False)
+
+
+def test_options_do_not_make_inference_look_up_files(spark, csv_file, monkeypatch):
+    csv_file("s.csv/a.csv", "id;name", "1;x,y", "#2;z")
+    path = csv_file("s.csv/b.csv", "id;name", "3;w").rsplit("/", 1)[0]
+    options = {"sep": ";", "comment": "#"}
+    expected = spark.read.options(**options).csv(path, header=True, inferSchema=True).schema
+    with monkeypatch.context() as without:
+        without.delattr(DataFrameReader, "csv")
+        assert infer_csv_schema(spark, path, options) == expected
+    read = read_csv_table(spark, path, options=options)
+    assert sorted(values(read)) == [(1, "x,y"), (3, "w")]
+    # A line end of one's own still goes by the file.
+    bars = csv_file("bars.csv", "id,n|1,2|3,4", end="")
+    assert values(read_csv_table(spark, bars, options={"lineSep": "|"})) == [(1, 2), (3, 4)]
+
+
 @pytest.mark.parametrize("schema", [None, "a string, b string"])
 def test_header_only_is_an_empty_table(spark, csv_file, schema):
     df = read_csv_table(spark, csv_file("h.csv", "a,b"), schema=schema)
@@ -191,6 +228,19 @@ def test_listing(spark, csv_file, tmp_path):
     assert read_csv_table(spark, as_uri[1].path).count() == 2
 
 
+def test_listing_does_not_walk_other_folders(spark, csv_file, tmp_path):
+    csv_file("in/a.csv", "id", "1")
+    for n in range(50):
+        csv_file(f"in/deep/er/{n}.csv", "id", "1")
+    csv_file("in/_parts.csv/part-0", "id", "1")
+    csv_file("in/.b.csv", "id", "1")
+    found = list_files(spark, str(tmp_path / "in"))
+    assert [f.file for f in found.collect()] == ["a.csv"]
+    assert not [path for path in found.inputFiles() if "/deep/" in path]
+    csv_file("other/x.txt", "id")
+    assert list_files(spark, str(tmp_path / "other")).collect() == []
+
+
 def test_listing_of_nothing(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     assert list_files(spark, str(tmp_path / "empty")).collect() == []
@@ -200,18 +250,21 @@ def test_listing_of_nothing(spark, tmp_path):
         list_files(spark, "relative/folder")
 
 
-def test_listing_tasks_do_not_grow_with_bytes(spark, tmp_path):
+def test_listing_tasks_do_not_grow_with_bytes(spark, tmp_path, plan_of):
     for n in range(40):
         (tmp_path / f"f{n}.csv").write_text("x" * 100)
-    tracker = spark.sparkContext.statusTracker()
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
     try:
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 20
-        spark.sparkContext.setJobGroup("listing", "")
-        assert len(list_files(spark, str(tmp_path)).collect()) == 40
+        found = list_files(spark, str(tmp_path))
+        assert "Coalesce 1" in plan_of(found)
+        assert len(found.collect()) == 40
     finally:
-        spark.sparkContext.setJobGroup("", "")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("listing")]
-    stages = [tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds]
-    assert 0 < max(stage.numTasks for stage in stages if stage) <= 8
+
+
+def test_listing_tasks_grow_with_files(spark, tmp_path, plan_of, monkeypatch):
+    monkeypatch.setattr("millrace.sources.listing.FILES_PER_TASK", 10)
+    for n in range(35):
+        (tmp_path / f"f{n}.csv").write_text("x")
+    assert "Coalesce 4" in plan_of(list_files(spark, str(tmp_path)))
