@@ -44,6 +44,8 @@ def sized_for(input_bytes: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        # Or Spark would cut small tables into as many files as there are cores.
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
 
 
