@@ -49,6 +49,8 @@ CUES = (
     r"(?i)(?:mail|contact|call|phone|tel|fax|mobile|card|visa|konto|address|reach|write|ring)"
 )
 CONTEXT_CHARS = 24
+# Spans of one text that are taken together; the result does not depend on it.
+GROUP = 256
 
 LABELERS = ("rule", "gazetteer", "context", "shape")
 ROUNDS = 12
@@ -64,7 +66,7 @@ def matches(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
     Spark gives the matches and the pieces between them; adding up lengths
     gives the places, in code points.
     """
-    found, gaps = f"{name}_found", f"{name}_gaps"
+    found, gaps, ends = f"{name}_found", f"{name}_gaps", f"{name}_ends"
     none = F.array().cast("array<string>")
     df = df.withColumn(
         found, F.when(guard, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
@@ -72,29 +74,70 @@ def matches(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
         gaps, F.when(F.size(found) > 0, F.split("text", pattern, -1)).otherwise(none)
     )
 
-    def add(state: Column, i: Column) -> Column:
-        start = state["at"] + F.char_length(F.get(gaps, i))
-        end = start + F.char_length(F.get(found, i))
-        spot = F.struct(
-            start.alias("start"),
+    df = df.withColumn(
+        ends,
+        F.when(
+            F.size(found) > 0,
+            running_sums(F.transform(found, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))),
+        ),
+    )
+
+    def spot(match: Column, i: Column) -> Column:
+        end = F.get(ends, i)
+        return F.struct(
+            (end - F.char_length(match)).alias("start"),
             end.alias("end"),
-            F.get(found, i).alias("value"),
+            match.alias("value"),
             F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)).alias("before"),
             F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("after"),
         )
-        return F.struct(
-            end.alias("at"), F.array_append(state["spots"], spot).cast(SPOT).alias("spots")
-        )
 
-    places = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPOT).alias("spots")),
-        add,
-        lambda state: state["spots"],
+    spots = F.when(F.size(found) > 0, F.transform(found, spot)).otherwise(F.array())
+    return df.withColumn(name, spots.cast(SPOT)).drop(found, gaps, ends)
+
+
+def given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once even if a lambda in it has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scanned(
+    items: Column, first: Column, passed: Callable[[Column, Column], Column]
+) -> Column:
+    """What has gathered after each group of ``GROUP`` items, ``first`` in front.
+
+    ``passed(state, item)`` takes an item in. Appending to an array copies it,
+    so a long row is taken group by group: its cost stays near linear.
+    """
+    kind = "array<int>"
+    groups = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / GROUP).cast("int"))
+    return F.aggregate(
+        groups,
+        F.array(first).cast(kind),
+        lambda states, g: F.array_append(
+            states,
+            F.aggregate(F.slice(items, g * GROUP + 1, F.lit(GROUP)), F.element_at(states, -1), passed),
+        ),
     )
-    return df.withColumn(
-        name, F.when(F.size(found) > 0, places).otherwise(F.array().cast(SPOT))
-    ).drop(found, gaps)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum up to each of an array's whole numbers; the array is not empty."""
+
+    def sums(numbers: Column) -> Column:
+        before = scanned(numbers, F.lit(0), lambda total, x: total + x)
+
+        def within(start: Column, g: Column) -> Column:
+            return F.aggregate(
+                F.slice(numbers, g * GROUP + 1, F.lit(GROUP)),
+                F.array(start),
+                lambda totals, x: F.array_append(totals, F.element_at(totals, -1) + x),
+                lambda totals: F.slice(totals, F.lit(2), F.lit(GROUP)),
+            )
+
+        return F.flatten(F.transform(before, within))
+
+    return given(numbers, sums)
 
 
 def luhn(digits: Column) -> Column:
@@ -298,27 +341,53 @@ def accepted(found: DataFrame, weights: list[float]) -> DataFrame:
     """Replace ``spans`` by ``base`` and ``added``."""
     rest = [name for name in found.columns if name != "spans"]
     place = lambda s: F.struct(s["kind"], s["start"], s["end"])
-    apart = lambda s, t: (s["end"] <= t["start"]) | (t["end"] <= s["start"])
     others = F.filter("spans", lambda s: ~s["base"])
+    likely = lambda s: logistic.probability(weights, features(s)) >= 0.5
+    beside = given(by_kind("base"), lambda lists: F.filter("others", lambda s: ~touches(s, lists)))
     wanted = (
         found.select(*rest, F.filter("spans", lambda s: s["base"]).alias("base"), others.alias("others"))
-        .withColumn(
-            "others",
-            F.filter("others", lambda s: logistic.probability(weights, features(s)) >= 0.5),
-        )
-        .withColumn(
-            "others", F.filter("others", lambda s: F.forall("base", lambda t: apart(s, t)))
-        )
+        .withColumn("others", F.filter("others", likely))
+        .withColumn("others", beside)
     )
-    first = F.filter(
-        "others",
-        lambda s: F.forall("others", lambda t: (t["kind"] >= s["kind"]) | apart(s, t)),
+    first = given(
+        by_kind("others"),
+        lambda lists: F.filter("others", lambda s: ~touches(s, F.slice(lists, F.lit(1), s["kind"]))),
     )
     return wanted.select(
         *rest, F.transform("base", place).alias("base"), F.transform(first, place).alias("added")
     )
 
 
+def by_kind(spans: str) -> Column:
+    """A list per kind; its spans are apart and rise, as matches of one pattern do."""
+    mine = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
+    return F.array(*map(mine, range(len(KINDS))))
+
+
+def touches(span: Column, lists: Column) -> Column:
+    """Whether a span overlaps one of ``lists``, each searched by halving it."""
+
+    def closer(at: Column, others: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        before = F.get(others, middle)["start"] < span["end"]
+        more = at["lo"] < at["hi"]
+        return F.struct(
+            F.when(more & before, middle + 1).otherwise(at["lo"]).alias("lo"),
+            F.when(more & ~before, middle).otherwise(at["hi"]).alias("hi"),
+        )
+
+    def hit(others: Column) -> Column:
+        # The last that begins before the span ends also ends last.
+        return F.aggregate(
+            F.sequence(F.lit(1), F.length(F.bin(F.size(others)))),
+            F.struct(F.lit(0).alias("lo"), F.size(others).alias("hi")),
+            lambda at, _: closer(at, others),
+            lambda at: F.coalesce(F.get(others, at["lo"] - 1)["end"] > span["start"], F.lit(False)),
+        )
+
+    return F.exists(lists, hit)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets.
 
@@ -349,25 +418,47 @@ def _by_start(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with a mark for each of ``spans``, which are sorted by start."""
+    """``text`` with a mark for each of ``spans``, which are sorted by start.
+
+    Cutting a piece out of a text reads the text up to it, so each group of
+    spans has its part of the text cut out first.
+    """
     names = F.array(*map(F.lit, KINDS))
 
-    def add(state: Column, s: Column) -> Column:
-        between = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        mark = F.when(
-            s["start"] >= state["at"], F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">"))
-        ).otherwise("")
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.concat(state["out"], between, mark).alias("out"),
-        )
+    def marked(at: Column, group: Column, upto: Column) -> Column:
+        def with_part(part: Column) -> Column:
+            def add(state: Column, s: Column) -> Column:
+                between = F.substr(
+                    part, state["at"] - at + 1, F.greatest(s["start"] - state["at"], F.lit(0))
+                )
+                mark = F.when(
+                    s["start"] >= state["at"],
+                    F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">")),
+                ).otherwise("")
+                return F.struct(
+                    F.greatest(state["at"], s["end"]).alias("at"),
+                    F.concat(state["out"], between, mark).alias("out"),
+                )
+
+            start = F.struct(at.alias("at"), F.lit("").alias("out"))
+            return F.aggregate(group, start, add, lambda state: state["out"])
+
+        return given(F.substr(text, at + 1, upto - at), with_part)
+
+    def joined(spans: Column) -> Column:
+        def with_reach(reach: Column) -> Column:
+            parts = F.transform(
+                F.slice(reach, F.lit(1), F.size(reach) - 1),
+                lambda at, g: marked(
+                    at, F.slice(spans, g * GROUP + 1, F.lit(GROUP)), F.get(reach, g + 1)
+                ),
+            )
+            rest = F.substr(text, F.element_at(reach, -1) + 1)
+            return F.concat(F.array_join(parts, ""), rest)
 
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        add,
-        lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1)),
-    )
+        return given(scanned(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"])), with_reach)
+
+    return given(spans, joined)
 
 
 def listed(spans: Column) -> Column:

@@ -83,6 +83,46 @@ def test_masks_by_hand(spark):
     assert row.text == "Mail é@x <email> now, <ip>!" and row.n_chars == len(row.text)
 
 
+def apart(s, t):
+    return s.end <= t.start or t.end <= s.start
+
+
+@pytest.mark.parametrize("group", [2, 256])
+def test_spans_taken_in_groups_are_those_of_the_whole_text(texts, monkeypatch, group):
+    monkeypatch.setattr(pii, "GROUP", group)
+    plain, df = texts
+    found = pii.candidates(df).select("row.doc_id", "spans").cache()
+    # Weights of 0 take every candidate.
+    accepted = pii.accepted(found, [0.0] * (pii.FEATURES + 1)).collect()
+    spans = {row.doc_id: row.spans for row in found.collect()}
+    for row in accepted:
+        assert [(s.kind, s.start, s.end) for s in row.base] == plain_pii(plain[row.doc_id])
+        rest = [s for s in spans[row.doc_id] if not s.base and all(apart(s, t) for t in row.base)]
+        first = [s for s in rest if all(t.kind >= s.kind or apart(s, t) for t in rest)]
+        assert [(s.kind, s.start, s.end) for s in row.added] == [(s.kind, s.start, s.end) for s in first]
+
+
+@pytest.mark.parametrize("group", [2, 256])
+def test_masks_are_those_of_a_plain_program(spark, monkeypatch, group):
+    monkeypatch.setattr(pii, "GROUP", group)
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é\U0001d49c") for _ in range(rng.randint(1, 80)))
+        spans = [sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randint(1, 9))]
+        rows.append((i, text, sorted((a, b, rng.randrange(6)) for a, b in spans)))
+    df = spark.createDataFrame(
+        rows, "id int, text string, spans array<struct<start:int,end:int,kind:int>>"
+    )
+    masked = {r.id: r.out for r in df.select("id", pii.masked(df.text, df.spans).alias("out")).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for start, end, kind in spans:
+            out += text[at : max(start, at)] + (f"<{pii.KINDS[kind]}>" if start >= at else "")
+            at = max(at, end)
+        assert masked[i] == out + text[at:]
+
+
 def test_votes_are_weighed_by_agreement(spark):
     # Three labelers agree, the fourth votes at random.
     rows = [([1, 1, 1, v], 50) for v in (-1, 1)] + [([-1, -1, -1, v], 50) for v in (-1, 1)]
