@@ -2,15 +2,18 @@
 
 The words before a token give a vector, the sum of a vector per word and
 distance; its product with a token's vector, plus a bias, is the token's score.
-Training is noise-contrastive: tell the token that followed from tokens drawn at
-random. Every task trains on the text of its partition, from the same start, and
-the results are averaged by weight, so all text is learned from and no task or
-driver gathers it. Scoring normalises over the whole vocabulary, by products of
-matrices of contexts and tokens.
-
-The vocabulary is a bounded number of frequent tokens and one entry for all
-others; what such a token is given is shared out by unigram counts, which are
-exact for every word.
+Tokens stand in blocks: a token's probability is that of its block among all
+blocks times its own within the block, both normalised exactly, so a token costs
+the square root of the vocabulary. Training is noise-contrastive: tell the block
+and the token that followed from ones drawn at random. Every task trains on the
+text of its partition, from the same start, and the results are averaged by how
+often each row of parameters was used, so all text is learned from and no task
+or driver gathers it.
+
+Every word is modelled, as token and as context. The most frequent have entries
+of their own; the others share entries by hash, whose number grows with the
+square root of that of such words. What a shared entry is given is dealt to its
+words by unigram counts, which are exact for every word.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
+from math import ceil, sqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import remainder, stored, table
 
-# Tokens of the model, and words whose counts every task holds: both bounded in
-# number, and the words in length, whatever the corpus.
-VOCABULARY = 1024
+# Words with an entry of their own, whose counts every task holds: bounded in
+# number and length, whatever the corpus.
 HEAD = 131_072
 HEAD_CHARS = 64
+# Shared entries per square root of the number of other words.
+SHARED = 16
 SIZE = 16
 CONTEXT = 2
 NOISE = 64
@@ -43,7 +49,7 @@ MAX_COUNTED = 300_000
 SMOOTHING = 0.1
 # The end of a text is a token; no word is empty.
 END = b""
-# Parameters sent in one row.
+# Rows of parameters sent in one row.
 PART = 1024
 
 
@@ -80,13 +86,15 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Head:
-    """Exact counts of the most frequent tokens; the first are the model's."""
+    """Exact counts of the most frequent tokens; the first have entries of the
+    model. ``others`` are the smoothed counts of the entries that words share."""
 
     ids: dict[bytes, int]
     counts: np.ndarray
     train_tokens: int
     distinct: int
     vocabulary: int
+    others: np.ndarray | None = None
 
     @property
     def total(self) -> float:
@@ -94,12 +102,21 @@ class Head:
         return self.train_tokens + SMOOTHING * (self.distinct + 1)
 
     def log_unigram(self) -> np.ndarray:
-        """Natural logarithm per entry of the vocabulary; the last is all others."""
-        known = (self.counts[: self.vocabulary] + SMOOTHING) / self.total
-        return np.log(np.append(known, max(1 - known.sum(), 1e-12)))
+        """Natural logarithm per entry, shared ones last; each has one unseen word."""
+        mass = np.append(self.counts[: self.vocabulary] + SMOOTHING, self.others)
+        return np.log(mass / self.entries_total(len(self.others)))
 
+    def entries_total(self, shared: int) -> float:
+        return self.train_tokens + SMOOTHING * (self.distinct + shared)
 
-def head_of(counts: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD) -> Head:
+    def entries(self, shared: int) -> np.ndarray:
+        """The entry of each of the head's words."""
+        rest = list(self.ids)[self.vocabulary :]
+        own = np.arange(self.vocabulary)
+        return np.append(own, [self.vocabulary + crc32(w) % shared for w in rest]).astype(np.int64)
+
+
+def head_of(counts: DataFrame, vocabulary: int = HEAD, head: int = HEAD) -> Head:
     """``counts`` has ``word, n``. A longer word is looked up like a rare one."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
     rows = (
@@ -108,66 +125,109 @@ def head_of(counts: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD) -
         .limit(head)
         .toArrow()
     )
-    words = rows.column("word").to_pylist()
+    words = [bytes(word) for word in rows.column("word").to_pylist()]
+    n = rows.column("n").to_numpy()
+    vocabulary = min(vocabulary, len(words))
+    shared = max(1, ceil(SHARED * sqrt(sums.words - vocabulary)))
+    # All words by hash, less those with an entry of their own: whole numbers.
+    by_hash = (
+        counts.groupBy((F.crc32("word") % shared).alias("entry"))
+        .agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+        .toArrow()
+    )
+    sizes = np.zeros((shared, 2), dtype=np.int64)
+    sizes[by_hash.column("entry").to_numpy()] = np.stack(
+        [by_hash.column("n").to_numpy(), by_hash.column("words").to_numpy()], axis=1
+    )
+    for word, times in zip(words[:vocabulary], n[:vocabulary].tolist(), strict=True):
+        sizes[crc32(word) % shared] -= (times, 1)
     return Head(
-        {bytes(word): i for i, word in enumerate(words)},
-        rows.column("n").to_numpy().astype(float),
+        {word: i for i, word in enumerate(words)},
+        n.astype(float),
         sums.n or 0,
         sums.words,
-        min(vocabulary, len(words)),
+        vocabulary,
+        sizes[:, 0] + SMOOTHING * (sizes[:, 1] + 1),
     )
 
 
 class Model:
-    """Entries 0 to ``words`` of tokens (the last: all others); as context there
-    is one more, for what lies before the text."""
+    """Entries of tokens, in blocks of equal size; as context there is one more,
+    for what lies before the text.
+
+    All parameters are rows of one table: blocks, entries, and entries as context
+    at each distance. The last place of a row is the bias; contexts have 0 there.
+    """
 
     def __init__(self, log_unigram: np.ndarray, size: int = SIZE, seed: int = 3):
         random = np.random.default_rng(seed)
-        self.noise = log_unigram
         n = len(log_unigram)
-        self.token = random.normal(0, 0.1, (n, size))
-        self.bias = log_unigram.copy()
-        self.context = random.normal(0, 0.1, (CONTEXT, n + 1, size))
-        self._z: np.ndarray | None = None
+        self.noise = log_unigram
+        self.block = ceil(sqrt(n))
+        self.blocks = -(-n // self.block)
+        firsts = np.arange(self.blocks) * self.block
+        self.block_noise = np.log(np.add.reduceat(np.exp(log_unigram), firsts))
+        # The first row of contexts at each distance.
+        self.at = self.blocks + n + np.arange(CONTEXT) * (n + 1)
+        rows = self.blocks + n + CONTEXT * (n + 1)
+        self.rows = np.zeros((rows, size + 1), dtype=np.float32)
+        self.rows[:, :-1] = random.standard_normal((rows, size), dtype=np.float32) * 0.1
+        self.rows[: self.blocks + n, -1] = np.append(self.block_noise, log_unigram)
 
     @property
     def start(self) -> int:
-        return len(self.token)
+        return len(self.noise)
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([self.token.ravel(), self.bias, self.context.ravel()])
+        return self.rows.ravel()
 
     def set_parameters(self, flat: np.ndarray) -> None:
-        a, b = self.token.size, self.token.size + self.bias.size
-        self.token = flat[:a].reshape(self.token.shape)
-        self.bias = flat[a:b]
-        self.context = flat[b:].reshape(self.context.shape)
-        self._z = None
+        self.rows = flat.reshape(self.rows.shape)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.context[k][before[:, k]] for k in range(CONTEXT))
+        vector = sum(self.rows[self.at[k] + before[:, k]] for k in range(CONTEXT))
+        vector[:, -1] = 1
+        return vector
+
+    def coded(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Each case as one number, of 64 bits up to two million entries."""
+        width = self.start + 1
+        return (before @ (width ** np.arange(CONTEXT))) * width + token
 
-    def log_z(self, before: np.ndarray) -> np.ndarray:
-        """Logarithm of the normaliser of each context, computed once for each."""
+    def split(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width = self.start + 1
-        if self._z is None:
-            self._z = np.full(width**CONTEXT, np.nan, dtype=np.float32)
-        codes = before @ (width ** np.arange(CONTEXT))
-        new = np.unique(codes[np.isnan(self._z[codes])])
-        tokens = self.token.T.astype(np.float32)
-        bias = self.bias.astype(np.float32)
-        for i in range(0, len(new), 2048):
-            some = new[i : i + 2048]
-            split = np.stack([some // width**k % width for k in range(CONTEXT)], axis=1)
-            scores = self.predicted(split).astype(np.float32) @ tokens + bias
-            top = scores.max(axis=1)
-            self._z[some] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return self._z[codes].astype(float)
+        token, rest = codes % width, codes // width
+        return np.stack([rest // width**k % width for k in range(CONTEXT)], axis=1), token
 
     def log_probability(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        score = np.einsum("ij,ij->i", self.predicted(before), self.token[token])
-        return score + self.bias[token] - self.log_z(before)
+        """Equal cases are computed once."""
+        codes, back = np.unique(self.coded(before, token), return_inverse=True)
+        before, token = self.split(codes)
+        vector, block = self.predicted(before), token // self.block
+        # Cases come sorted by context, so that of its first case serves all.
+        context = codes // (self.start + 1)
+        new = np.append(True, context[1:] != context[:-1])[: len(codes)]
+        log_z = _log_sum(vector[new], self.rows[: self.blocks])[np.cumsum(new) - 1]
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            cases = order[cuts[b] : cuts[b + 1]]
+            first = self.blocks + b * self.block
+            last = min(first + self.block, self.blocks + self.start)
+            log_z[cases] += _log_sum(vector[cases], self.rows[first:last])
+        score = np.einsum("ij,ij->i", vector, self.rows[block] + self.rows[self.blocks + token])
+        return (score - log_z).astype(float)[back]
+
+
+def _log_sum(vector: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each vector's products."""
+    found = np.empty(len(vector), dtype=np.float32)
+    for i in range(0, len(vector), 2048):
+        scores = vector[i : i + 2048] @ rows.T
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        found[i : i + 2048] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+    return found
 
 
 class Trainer:
@@ -175,58 +235,70 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int = 4):
         self.model, self.random = model, np.random.default_rng(seed)
-        self.squares = [np.full(p.shape, 1e-6) for p in (model.token, model.bias, model.context)]
-        share = np.exp(model.noise)
-        self.share = share / share.sum()
+        self.squares = np.full(model.rows.shape, 1e-6, dtype=np.float32)
+        # How often each row of parameters was used.
+        self.used = np.zeros(len(model.rows), dtype=np.float32)
+        self.shares = [np.cumsum(np.exp(noise)) for noise in (model.block_noise, model.noise)]
+        expected = np.append(model.block_noise, model.noise) + np.log(NOISE)
+        self.expected = expected.astype(np.float32)
 
     def learn(self, before: np.ndarray, token: np.ndarray) -> None:
         """Equal cases are counted once and weighed, in an order drawn at random."""
-        width = self.model.start + 1
-        codes = (before @ (width ** np.arange(CONTEXT))) * width + token
-        codes, times = np.unique(codes, return_counts=True)
-        token, rest = codes % width, codes // width
-        before = np.stack([rest // width**k % width for k in range(CONTEXT)], axis=1)
+        codes, times = np.unique(self.model.coded(before, token), return_counts=True)
+        before, token = self.model.split(codes)
         for _ in range(EPOCHS):
             order = self.random.permutation(len(token))
             for i in range(0, len(order), BATCH):
                 some = order[i : i + BATCH]
-                self.step(before[some], token[some], times[some].astype(float))
+                self.step(before[some], token[some], times[some].astype(np.float32))
 
     def step(self, before: np.ndarray, token: np.ndarray, weight: np.ndarray) -> None:
-        """One set of noise tokens serves the whole batch."""
-        model = self.model
-        noise = self.random.choice(len(self.share), NOISE, p=self.share)
-        log_expected = np.log(NOISE) + model.noise
+        """One set of noise blocks and one of noise tokens serve the whole batch."""
+        model, n = self.model, len(token)
         vector = model.predicted(before)
+        twice = np.concatenate([vector, vector])
         weight = weight / weight.sum()
-
-        def share(x):
-            return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-        true = np.einsum("ij,ij->i", vector, model.token[token]) + model.bias[token]
-        off_true = (share(true - log_expected[token]) - 1) * weight
-        false = vector @ model.token[noise].T + model.bias[noise]
-        off_false = share(false - log_expected[noise]) * weight[:, None]
-
-        d_vector = off_true[:, None] * model.token[token] + off_false @ model.token[noise]
-        d_token = _added(model.token.shape, token, off_true[:, None] * vector)
-        np.add.at(d_token, noise, off_false.T @ vector)
-        d_bias = np.bincount(token, off_true, len(model.bias))
-        d_bias += np.bincount(noise, off_false.sum(axis=0), len(model.bias))
-        d_context = np.stack(
-            [_added(model.context.shape[1:], before[:, k], d_vector) for k in range(CONTEXT)]
+        true = np.concatenate([token // model.block, model.blocks + token])
+        blocks, tokens = (
+            np.searchsorted(c, self.random.random(NOISE) * c[-1], side="right").clip(max=len(c) - 1)
+            for c in self.shares
         )
-        parameters = (model.token, model.bias, model.context)
-        for p, d, s in zip(parameters, (d_token, d_bias, d_context), self.squares, strict=True):
-            s += d * d
-            p -= RATE * d / np.sqrt(s)
-
-
-def _added(shape: tuple[int, ...], rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Zeros of a shape with values added to rows, some of them repeatedly."""
-    n, size = shape
-    places = (rows[:, None] * size + np.arange(size)).ravel()
-    return np.bincount(places, values.ravel(), n * size).reshape(n, size)
+        noise = np.concatenate([blocks, model.blocks + tokens])
+        true_rows, noise_rows = model.rows[true], model.rows[noise]
+
+        off_true = _share(np.einsum("ij,ij->i", twice, true_rows) - self.expected[true]) - 1
+        off_true *= np.concatenate([weight, weight])
+        off_noise = _share(vector @ noise_rows.T - self.expected[noise])
+        off_noise *= weight[:, None]
+
+        d_true = off_true[:, None] * twice
+        true_rows *= off_true[:, None]
+        d_vector = off_noise @ noise_rows + true_rows[:n] + true_rows[n:]
+        d_vector[:, -1] = 0
+        at = [true, noise, *(model.at + before).T]
+        d = [d_true, off_noise.T @ vector, *[d_vector] * CONTEXT]
+        self.change(np.concatenate(at).astype(np.int32), np.concatenate(d))
+
+    def change(self, at: np.ndarray, d: np.ndarray) -> None:
+        """Only rows that a step uses are touched; those named repeatedly are added."""
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rows, d = at[first], np.add.reduceat(d[order], first, axis=0)
+        squares = self.squares[rows]
+        squares += d * d
+        self.squares[rows] = squares
+        d *= RATE
+        d /= np.sqrt(squares, out=squares)
+        self.model.rows[rows] -= d
+        self.used[rows] += np.diff(np.append(first, len(at)))
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
@@ -256,10 +328,14 @@ def _pieces(texts: list[str | None]):
 
 
 class _Ids(dict):
-    """Numbers of the head's words, -1 for others."""
+    """Numbers of the head's words; others have -1 less their shared entry."""
+
+    def __init__(self, head: Head, shared: int):
+        super().__init__(head.ids)
+        self.shared = shared
 
     def __missing__(self, word):
-        return -1
+        return -1 - crc32(word) % self.shared
 
 
 def _numbered(tokens: list[list[bytes]], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
@@ -270,58 +346,70 @@ def _numbered(tokens: list[list[bytes]], ids: _Ids) -> tuple[np.ndarray, np.ndar
     return numbers, np.cumsum(sizes)
 
 
-def _entries(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
-    return np.where((numbers >= 0) & (numbers < vocabulary), numbers, vocabulary)
+def _entries(numbers: np.ndarray, of_head: np.ndarray, vocabulary: int) -> np.ndarray:
+    # Any place of the head's for words outside of it; there may be none.
+    known = np.append(of_head, 0)[np.maximum(numbers, -1)]
+    return np.where(numbers >= 0, known, vocabulary - 1 - numbers)
 
 
 def train(texts: DataFrame, head: Head) -> Model:
     """The average of the models that the partitions of ``texts`` train.
 
-    A task sends one vector of parameters, in parts, with the number of tokens
-    it learned from; Spark averages them place by place.
+    A task sends the rows of parameters that it used, in parts, and how often it
+    used each; a row's average is weighed by that. Unused rows stay as they start.
     """
     log_unigram = head.log_unigram()
-    held = head
+    held, shared = head, len(head.others)
 
     def learn(batches):
-        ids = _Ids(held.ids)
-        trainer, learned = Trainer(Model(log_unigram)), 0
+        ids, of_head = _Ids(held, shared), held.entries(shared)
+        trainer = Trainer(Model(log_unigram))
         for batch in batches:
             for tokens in _pieces(batch.column(0).to_pylist()):
                 numbers, ends = _numbered(tokens, ids)
-                entries = _entries(numbers, held.vocabulary)
+                entries = _entries(numbers, of_head, held.vocabulary)
                 trainer.learn(contexts(entries, ends, trainer.model.start), entries)
-                learned += len(entries)
-        if learned:
-            flat = trainer.model.parameters()
-            parts = [flat[i : i + PART] for i in range(0, len(flat), PART)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(len(parts)), pa.int32()),
-                    pa.array([float(learned)] * len(parts)),
-                    pa.array(parts, pa.list_(pa.float64())),
-                ],
-                ["part", "weight", "vector"],
-            )
+        rows, used = trainer.model.rows, trainer.used
+        for part, i in enumerate(range(0, len(rows), PART)):
+            if used[i : i + PART].any():
+                yield _sent(part, rows[i : i + PART], used[i : i + PART])
 
-    trained = texts.mapInArrow(learn, "part int, weight double, vector array<double>")
-    average = (
-        trained.select("part", "weight", F.posexplode("vector").alias("place", "value"))
-        .groupBy("part", "place")
-        .agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-        .toArrow()
-    )
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for part, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places, rows, times = _received(rows)
+                if part not in sums:
+                    sums[part] = np.zeros((PART, rows.shape[1])), np.zeros(PART)
+                sums[part][0][places] += rows * times[:, None]
+                sums[part][1][places] += times
+        for part, (rows, times) in sums.items():
+            yield _sent(part, rows / np.maximum(times, 1)[:, None], times)
+
+    kind = "part int, rows binary"
+    average = texts.mapInArrow(learn, kind).repartition("part").mapInArrow(add, kind).toArrow()
     model = Model(log_unigram)
-    if average.num_rows:
-        flat = model.parameters()
-        at = average.column("part").to_numpy() * PART + average.column("place").to_numpy()
-        flat[at] = average.column("value").to_numpy()
-        model.set_parameters(flat)
+    for part, rows in zip(*(c.to_pylist() for c in average.columns), strict=True):
+        places, rows, _ = _received(rows)
+        model.rows[part * PART + places] = rows
     return model
 
 
+def _sent(part: int, rows: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
+    """The used rows of a part: place in it, values, times used."""
+    places = np.flatnonzero(used)
+    values = np.column_stack([places, rows[places], used[places]]).astype(np.float32)
+    columns = [pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "rows"])
+
+
+def _received(values: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(values, dtype=np.float32).reshape(-1, SIZE + 3)
+    return rows[:, 0].astype(np.int64), rows[:, 1:-1], rows[:, -1]
+
+
 ROW = (
-    "n_tokens bigint, n_known bigint, base double, neural double, n_other bigint, other double, "
+    "n_tokens bigint, n_known bigint, base double, neural double, other double, "
     "rare array<binary>, rare_times array<int>"
 )
 
@@ -330,24 +418,28 @@ def _rows_scored(docs: DataFrame, head: Head, model: Model) -> DataFrame:
     """Per row what the head's counts and the model say, and its other words.
 
     ``base`` sums log10 of the smoothed counts, ``neural`` of the model's
-    probabilities, and ``other`` of smoothed counts of words outside of the model.
+    probabilities, for a word of a shared entry per smoothed count of the entry,
+    and ``other`` of the smoothed counts of such words.
     """
-    log_unigram, parameters = head.log_unigram(), model.parameters()
-    held = head
+    log_unigram, parameters = model.noise, model.parameters()
+    held, shared = head, model.start - head.vocabulary
+    log_mass = np.log10(head.entries_total(shared)) + log_unigram / np.log(10)
+    log_mass[: head.vocabulary] = 0.0
 
     def score(batches):
-        ids = _Ids(held.ids)
+        ids, of_head = _Ids(held, shared), held.entries(shared)
         model = Model(log_unigram)
         model.set_parameters(parameters)
-        log_count = np.append(np.log10(held.counts + SMOOTHING), 0.0)  # -1: not here
+        log_count = np.append(np.log10(held.counts + SMOOTHING), 0.0)  # the last: not here
         for batch in batches:
             done = 0
             for tokens in _pieces(batch.column("text").to_pylist()):
                 numbers, ends = _numbered(tokens, ids)
-                entries = _entries(numbers, held.vocabulary)
+                entries = _entries(numbers, of_head, held.vocabulary)
                 before = contexts(entries, ends, model.start)
-                neural = model.log_probability(before, entries) / np.log(10)
-                other = entries == held.vocabulary
+                neural = model.log_probability(before, entries) / np.log(10) - log_mass[entries]
+                counted = log_count[np.maximum(numbers, -1)]
+                other = entries >= held.vocabulary
                 starts = np.concatenate([[0], ends[:-1]])
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 rare = [
@@ -357,10 +449,9 @@ def _rows_scored(docs: DataFrame, head: Head, model: Model) -> DataFrame:
                 columns = [
                     pa.array(ends - starts, pa.int64()),
                     pa.array(total((numbers >= 0).astype(np.int64)), pa.int64()),
-                    pa.array(total(log_count[numbers])),
+                    pa.array(total(counted)),
                     pa.array(total(neural)),
-                    pa.array(total(other.astype(np.int64)), pa.int64()),
-                    pa.array(total(np.where(other, log_count[numbers], 0.0))),
+                    pa.array(total(np.where(other, counted, 0.0))),
                     pa.array([list(c) for c in rare], pa.list_(pa.binary())),
                     pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
                 ]
@@ -399,15 +490,13 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: Model) -> DataF
     )
     known, log = F.coalesce("rare_known", F.lit(0)), F.coalesce("rare_log", F.lit(0.0))
     log_total = float(np.log10(head.total))
-    log_other = float(head.log_unigram()[-1] / np.log(10))
-    other = F.col("other") + log - F.col("n_other") * (log_total + log_other)
     return rows.join(found, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + known).cast("long").alias("n_known"),
         F.lit(head.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + log - F.col("n_tokens") * log_total).alias("base_score"),
-        (F.col("neural") + other).alias("score"),
+        (F.col("neural") + F.col("other") + log).alias("score"),
     )
 
 

@@ -97,6 +97,31 @@ def test_rare_words_are_joined(spark, documents, monkeypatch):
         assert r.score == pytest.approx(whole[r.doc_id].score)
 
 
+def test_every_word_is_modelled(spark):
+    # 3000 words, each followed by its partner; far more than the 1024 of an older model.
+    rng = random.Random(6)
+    pairs = [(f"a{i}", f"b{i}") for i in range(1500)]
+    texts = [" ".join(w for p in rng.choices(pairs, k=60) for w in p) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    for head in (lm.HEAD, 100):
+        counts = lm.stored(lm.count_words(docs.select("text")), "counts").cache()
+        held = lm.head_of(counts, head=head)
+        model = lm.train(docs.select("text"), held)
+        assert np.exp(held.log_unigram()).sum() == pytest.approx(1) and model.start > held.vocabulary
+        asked = [(0, "a7 b7 a900 b900"), (1, "b7 a7 b900 a900"), (2, "a7 b7 a1400 b1400"), (3, "a1400 b1400 a7 b7")]
+        rows = lm.score(spark.createDataFrame(asked, "doc_id long, text string"), counts, held, model).collect()
+        scores = {r.doc_id: r.score for r in rows}
+        # The order of words is seen for each of them.
+        assert abs(scores[0] - scores[1]) > 1e-4 and abs(scores[2] - scores[3]) > 1e-6
+        rows = lm.score(docs, counts, held, model).agg({"score": "sum", "base_score": "sum"}).first()
+        assert rows["sum(score)"] > rows["sum(base_score)"]
+
+
+def test_held_out_texts_score_above_their_unigrams(spark):
+    rows = lm.op6_lm_score(spark, SF).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_probabilities_sum_to_one_and_training_helps():
     rng = np.random.default_rng(0)
     # Each token is followed by the next one, mostly.
