@@ -1,4 +1,4 @@
-"""From raw documents to token ids, in the order of training.
+"""From raw documents to token ids, each with its place in the order of training.
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame`` on all that the
 one before it kept. All but the last return the columns of ``docs``.
@@ -6,7 +6,8 @@ one before it kept. All but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, near_duplicates, pii, quality_classifier
@@ -62,9 +63,36 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` per row."""
-    encoded = bpe.encode(docs, bpe.default_vocabulary())
-    return bpe.digest(encoded, "ids")
+    """``doc_id, position, n_tokens, ids_sha256, decoded_sha256, ids`` per row;
+    sorting by ``position`` gives the order of training."""
+    keyed = docs.select(
+        F.struct(F.col("doc_id").alias("id"), written_place(docs).alias("position")).alias("doc_id"), "text"
+    )
+    encoded = bpe.digest(bpe.encode(keyed, bpe.default_vocabulary()), "ids")
+    return encoded.select(
+        F.col("doc_id.id").alias("doc_id"),
+        "doc_id.position",
+        *[c for c in encoded.columns if c != "doc_id"],
+    )
+
+
+def written_place(docs: DataFrame) -> Column:
+    """A long per row, different for each, that rises in the order in which a
+    sorted stage was written: the number of its file, then the row in that file.
+
+    A scan deals files to tasks by size, so the order of rows read is another.
+    Rows that come from no file are numbered in their order.
+    """
+    try:
+        file = docs.metadataColumn("_metadata")
+        docs.select(file["row_index"])
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    # part-<number of the task>-<id of the write>-c<number of its file>
+    name = file["file_name"]
+    task = F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+    again = F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long")
+    return F.shiftleft(task, 40) + F.shiftleft(again, 32) + file["row_index"]
 
 
 STAGES = [

@@ -197,6 +197,35 @@ def test_due_times_invert_the_schedule(spark):
             assert area(times) / area(np.linspace(0, 1, 20_001)) == pytest.approx(row.asked, abs=1e-4)
 
 
+def test_each_copy_has_the_time_of_a_plain_inversion(spark, documents):
+    def asked(schedule, until):
+        area = 0
+        for (t0, w0), (t1, w1) in zip(schedule, schedule[1:], strict=False):
+            x = min(max(until, t0), t1)
+            area += (x - t0) * (w0 + w0 + (w1 - w0) * (x - t0) / (t1 - t0)) / 2
+        return area
+
+    def inverted(schedule, share):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if asked(schedule, middle) < share * asked(schedule, 1) else (low, middle)
+        return high
+
+    by_source = {}
+    for r in mixing.mix(spark.createDataFrame(documents)).collect():
+        by_source.setdefault(r.source, []).append(r)
+    copies = 0
+    for place, source in enumerate(sorted(by_source, key=str.encode)):
+        schedule, start = mixing.SCHEDULES[place % len(mixing.SCHEDULES)], 0
+        for r in sorted(by_source[source], key=lambda r: (r.draw, r.doc_id, r.size)):
+            middles = [start + r.size / 2 + k * r.source_size for k in range(mixing.MAX_REPEATS)]
+            expected = [inverted(schedule, m / r.target) for m in middles if m <= r.target]
+            assert r.positions == pytest.approx(expected, abs=1e-9)
+            start, copies = start + r.size, copies + len(expected)
+    assert copies > len(documents)
+
+
 def test_mix_on_odd_rows(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 7 and {r.size for r in rows if r.doc_id in (1, 2)} == {0}

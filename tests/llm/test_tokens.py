@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import bpe, lm
+from millrace.llm import bpe, lm, mixing
 
 SF = "/root/testdata/sf0.001"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABC  '0129.,!?#éßÜıİΣσς中文\u0301\x1c\x85\xa0\u200b\U0001f600\U0001d49c"
@@ -165,6 +165,29 @@ def test_pipeline_stages(spark, odd):
         assert empty.count() == 0, name
 
 
+def test_pipeline_gives_each_row_its_place_in_training(spark, documents):
+    docs = spark.createDataFrame(documents)
+    plan = mixing.mix(docs).collect()
+    expected = [i for _, _, i in sorted((t, r.draw, r.doc_id) for r in plan for t in r.positions)]
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "7",
+        "spark.sql.files.maxRecordsPerFile": "20",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        mixed = corpus_pipeline.stored(corpus_pipeline.mix_sources(spark, docs, SF), "mixed")
+        assert len(mixed.inputFiles()) > 1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    rows = corpus_pipeline.encode_tokens(spark, mixed, SF).collect()
+    assert len({r.position for r in rows}) == len(rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == expected
+
+
 def test_pipeline_runs(spark, documents, library):
     rows = corpus_pipeline.run(spark, SF).collect()
     texts = set(documents.doc_id)
