@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, nearest
+from millrace.llm import manifest, mixing, nearest
 from millrace.llm.bpe import op7_bpe
 from millrace.llm.lm import op6_lm_score
+from millrace.llm.manifest import op13_merkle_manifest
 from millrace.llm.mixing import op3_mix_sources
 from millrace.llm.near_duplicates import op5_ngram_jaccard
 from millrace.llm.nearest import op8_top_products
+from millrace.llm.periodic_runs import op11_periodic_runs
 from millrace.llm.pii import op10_pii
 from millrace.llm.quality_classifier import op9_quality_classifier
 from millrace.llm.quality_rules import op1_quality_rules
@@ -35,9 +37,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_top_products,
         op9_quality_classifier,
         op10_pii,
+        op11_periodic_runs,
+        op13_merkle_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op8_top_products": nearest.OP8_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
