@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import manifest, mixing, nearest
+from millrace.llm import chat, manifest, mixing, nearest
 from millrace.llm.bpe import op7_bpe
+from millrace.llm.chat import op12_chat_format
 from millrace.llm.lm import op6_lm_score
 from millrace.llm.manifest import op13_merkle_manifest
 from millrace.llm.mixing import op3_mix_sources
@@ -38,11 +39,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_classifier,
         op10_pii,
         op11_periodic_runs,
+        op12_chat_format,
         op13_merkle_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op8_top_products": nearest.OP8_SQL,
+    "op12_chat_format": chat.OP12_SQL,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }

@@ -4,9 +4,10 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import manifest, periodic_runs
+from millrace.llm import chat, manifest, periodic_runs
 from millrace.llm.common import words_of
 
 SF = "/root/testdata/sf0.001"
@@ -214,3 +215,132 @@ def test_op13_is_its_sql(spark):
     database = duckdb.connect()
     database.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert rows == sorted(database.sql(manifest.OP13_SQL).fetchall())
+
+
+# --- Conversations ---------------------------------------------------------
+
+TURNS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def branching(n=300):
+    """Conversations that share beginnings; a third of them the same first turns."""
+    rng = random.Random(3)
+    rows, known = [], [[("system", "be brief"), ("user", "hi")]]
+    for conv_id in range(n):
+        beginning = known[0] if conv_id % 3 == 0 else rng.choice(known)
+        turns = beginning[: rng.randint(1, len(beginning))]
+        for _ in range(rng.randint(0, 3)):
+            role = rng.choice(["user", "assistant", None, "a\\n\n<|b"])
+            turns = [*turns, (role, rng.choice(["a", "<|im_end|>", "<\\|x", "", None, "ü<", "|>"]))]
+        known.append(turns)
+        rows += [(conv_id, k, *turn) for k, turn in enumerate(turns)]
+    rng.shuffle(rows)
+    return rows
+
+
+def plain_conversations(rows):
+    """By id the turns in order, NULL as an empty text."""
+    found = {}
+    for conv_id, turn, role, text in rows:
+        found.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    return {conv_id: [t[2:] for t in sorted(turns)] for conv_id, turns in found.items()}
+
+
+def plain_op12(rows):
+    out = []
+    for conv_id, turns in plain_conversations(rows).items():
+        learned = "".join(text for role, text in turns if role == "assistant")
+        digest = sha256("".join(f"{role}\n{text}\n" for role, text in turns))
+        out.append((conv_id, len(turns), digest, len(learned), sha256(learned)))
+    return sorted(out, key=repr)
+
+
+def digests(df):
+    return sorted((tuple(r)[:5] for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "40"])
+def test_stream_is_the_prefix_tree_depth_first(spark, partitions):
+    rows = branching()
+    turns = spark.createDataFrame(rows, TURNS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream, ends = chat.pack(turns)
+        runs = sorted(stream.collect(), key=lambda r: r.start)
+        end_of = {r.conv_id: r.start for r in ends.collect()}
+        unpacked = chat.unpack(stream, ends)
+        assert digests(chat.digest(unpacked)) == plain_op12(rows)
+        texts = {r.conv_id: r.text for r in unpacked.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    whole = "".join(r.text for r in runs)
+    assert [r.start for r in runs] == [sum(len(r.text) for r in runs[:k]) for k in range(len(runs))]
+    # Each turn of the tree is written once.
+    expected = plain_conversations(rows)
+    tree = {tuple(turns[:k]) for turns in expected.values() for k in range(1, len(turns) + 1)}
+    assert whole.count(chat.START) == len(tree)
+    by_start = {r.start: r for r in runs}
+    turns_at = {}
+    for conv_id, turns in expected.items():
+        run = by_start[end_of[conv_id]]
+        assert sum(b - a for a, b in run.ancestors) == run.position
+        seen = "".join(whole[a:b] for a, b in run.ancestors) + run.text
+        assert seen == texts[conv_id]
+        assert chat.read_turns(seen) == turns
+        places = [i for a, b in [*run.ancestors, (run.start, run.start + run.size)] for i in range(a, b)]
+        at = [i for i in range(len(seen)) if seen.startswith(chat.START, i)]
+        for k, i in enumerate(at):
+            assert turns_at.setdefault(tuple(turns[: k + 1]), places[i]) == places[i]
+    # Depth first: in the order of the stream the paths of turns are a walk.
+    walk, path = sorted(turns_at, key=turns_at.get), ()
+    for node in walk:
+        assert path[: len(node) - 1] == node[:-1]
+        path = node
+
+
+def test_escapes_are_reversible(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("<|\\\n>an", k=rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", chat.escaped(F.col("t")), chat.escaped_role(F.col("t"))).collect():
+        assert "<|" not in row[1] and "<|" not in row[2] and "\n" not in row[2]
+        assert chat.unescaped(row[1]) == chat.unescaped_role(row[2]) == row[0]
+
+
+def test_op12_and_its_sql(spark):
+    import duckdb
+
+    found = chat.op12_chat_format(spark, SF)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select(*TURN_COLUMNS).collect()]
+    rows += [(-1, 0, "user", chat.ODD_TEXT), (-1, 1, "assistant", chat.ODD_TEXT)]
+    assert digests(found) == plain_op12(rows)
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    result = database.sql(chat.OP12_SQL)
+    assert result.columns == found.columns
+    assert sorted(result.fetchall()) == sorted(map(tuple, found.collect()))
+
+
+TURN_COLUMNS = ("conv_id", "turn", "role", "text")
+
+
+def test_odd_conversations(spark):
+    rows = [
+        (None, 1, "user", "no id"),
+        (None, None, "user", "no number"),
+        (1, 2, None, None),
+        (1, 2, None, None),
+        (1, 0, "assistant", "x" * 100_000),
+        (2, 0, "assistant", "x" * 100_000),
+        (3, 0, "assistant", ""),
+        (4, 1, "b", "tie"),
+        (4, 1, "a", "tie"),
+    ]
+    turns = spark.createDataFrame(rows, TURNS).selectExpr("*", "'k' AS key", "1 AS start", "2 AS size", "3 AS conv")
+    assert digests(chat.digest(chat.unpack(*chat.pack(turns)))) == plain_op12(rows)
+    none = chat.digest(chat.unpack(*chat.pack(turns.limit(0))))
+    assert none.collect() == [] and none.columns[0] == "conv_id"
