@@ -29,7 +29,17 @@ from millrace.fixed_values import (
     PURCHASE_TIME,
     TABLE_POSTFIX,
 )
-from millrace.plans import DATASETS, load_file, load_files, route_files
+from millrace.plans import (
+    DATASETS,
+    Dataset,
+    LoadError,
+    load_file,
+    load_files,
+    load_folder,
+    load_release,
+    read_ledger,
+    route_files,
+)
 from millrace.session import new_folder
 from millrace.sinks import overwrite_parquet, publish_view
 from millrace.sources import MULTILINE, list_files, read_csv_table
@@ -346,8 +356,11 @@ def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_table(spark, path, schema=documents.schema, options=MULTILINE)
 
 
-def ragged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short rows, long rows and unreadable cells, by event type; ``raw_line`` tells."""
+RAGGED_SCHEMA = "event_id bigint, event_type string, user_id bigint"
+
+
+def land_ragged(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Short rows, long rows and unreadable cells, by event type."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     cells = (
         F.when(kind == "error", F.array("event_id"))
@@ -360,15 +373,15 @@ def ragged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("event_id", F.col("event_id").cast("string"))
         .select(F.array_join(cells, ",").alias("event_id,event_type,user_id"))
     )
-    path = new_folder(spark, "ragged.csv")
     # One column without commas to quote by: lines and header come out as they are.
     lines.write.options(sep="\x01", quote="").csv(path, header=True)
-    return read_csv_table(
-        spark,
-        path,
-        schema="event_id bigint, event_type string, user_id bigint",
-        corrupt_column="raw_line",
-    )
+    return path
+
+
+def ragged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed with faults; ``raw_line`` tells."""
+    path = land_ragged(spark, sf_dir, new_folder(spark, "ragged.csv"))
+    return read_csv_table(spark, path, schema=RAGGED_SCHEMA, corrupt_column="raw_line")
 
 
 @checked_by(
@@ -718,3 +731,148 @@ def dedupe_latest_any_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", "o_orderkey", F.lit(7).alias("key_rank")
     )
     return orders.transform(op.dedupe_latest(["o_custkey"], ["o_orderkey"]))
+
+
+# --- Loads that keep, resume and switch ------------------------------------
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifest, table and bad lines of events with faults, from one scan."""
+    folder = new_folder(spark, "quarantine")
+    path = land_ragged(spark, sf_dir, f"{folder}/raw/events.csv")
+    datasets = [Dataset("events", "events", rules=(op.dedupe("event_id"),), schema=RAGGED_SCHEMA)]
+    sink = overwrite_parquet(f"{folder}/clean")
+    manifest = load_files(spark, [path], sink, datasets, bad_lines="_bad")
+    name = manifest.first().table_name
+    return (
+        manifest,
+        spark.read.parquet(f"{folder}/clean/{name}"),
+        spark.read.parquet(f"{folder}/clean/{name}_bad"),
+    )
+
+
+@checked_by(
+    """
+    SELECT event_id, event_type, user_id, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS raw_line
+    FROM events WHERE event_type NOT IN ('error', 'click', 'view')
+    UNION ALL
+    SELECT NULL, NULL, NULL, 'events.csv',
+           CASE event_type WHEN 'error' THEN CAST(event_id AS VARCHAR)
+                           WHEN 'click' THEN event_id || ',click,who?'
+                           ELSE event_id || ',view,' || user_id || ',more' END
+    FROM events WHERE event_type IN ('error', 'click', 'view')
+    """
+)
+def load_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that parse in the table, the others in a table of raw lines."""
+    _, rows, bad = quarantined(spark, sf_dir)
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
+@checked_by(
+    """
+    SELECT 'events.csv' AS file, 'events' AS rule, 'events.csv_data' AS table_name,
+           count(*) FILTER (event_type NOT IN ('error', 'click', 'view')) AS rows,
+           count(*) FILTER (event_type IN ('error', 'click', 'view')) AS bad_rows
+    FROM events
+    """
+)
+def load_quarantine_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantined(spark, sf_dir)[0]
+
+
+@checked_by("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_reordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files with the same columns in three orders; types inferred over all."""
+    customers = table(spark, sf_dir, "customer")
+    orders = (
+        ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"],
+        ["c_mktsegment", "c_acctbal", "c_name", "c_custkey"],
+        ["c_acctbal", "c_custkey", "c_mktsegment", "c_name"],
+    )
+    path = new_folder(spark, "customer.csv")
+    for i, names in enumerate(orders):
+        part = customers.filter(F.col("c_custkey") % len(orders) == i).select(names)
+        part.write.mode("append").csv(path, header=True)
+    read = read_csv_table(spark, path, by_name=True)
+    return read.select(
+        F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_acctbal", "c_mktsegment"
+    )
+
+
+@checked_by(
+    f"""
+    SELECT '{CUSTOMERS}.csv' AS file, 'customers_data' AS table_name, count(*) AS rows, 1 AS run
+    FROM customer
+    UNION ALL SELECT '{PAYMENTS}.csv', 'order_payments_data', count(*), 2 FROM orders
+    UNION ALL SELECT 'suppliers.csv', 'suppliers.csv_data', count(*), 3 FROM supplier
+    """
+)
+def load_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of three runs has loaded a file: the first fails at the second file,
+    the second goes on, and before the third a file has changed."""
+    folder = new_folder(spark, "resume")
+    raw, ledger = f"{folder}/raw", f"{folder}/ledger"
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(CUSTOMER), "c_name")
+    suppliers = table(spark, sf_dir, "supplier").select("s_name", "s_acctbal")
+    land(customers, f"{raw}/{CUSTOMERS}.csv")
+    land(raw_payments(spark, sf_dir), f"{raw}/{PAYMENTS}.csv")
+    land(suppliers.limit(0), f"{raw}/suppliers.csv")
+    write = overwrite_parquet(f"{folder}/clean")
+
+    def failing(clean: DataFrame, name: str) -> None:
+        if name != "customers_data":
+            raise OSError(f"no space for {name}")
+        write(clean, name)
+
+    runs = []
+    try:
+        load_folder(spark, raw, failing, ledger)
+    except LoadError as error:
+        runs.append([row.file for row in error.loaded])
+    runs.append([row.file for row in load_folder(spark, raw, write, ledger).collect()])
+    suppliers.write.mode("append").csv(f"{raw}/suppliers.csv", header=True)
+    runs.append([row.file for row in load_folder(spark, raw, write, ledger).collect()])
+    last = {file: number for number, files in enumerate(runs, start=1) for file in files}
+    run = F.coalesce(*[F.when(F.col("file") == file, number) for file, number in last.items()])
+    return read_ledger(spark, ledger).select("file", "table_name", "rows", run.alias("run"))
+
+
+@checked_by(
+    """
+    SELECT 'orders' AS name, count(*) AS n, 'order ' || min(o_orderkey) AS first_key
+    FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'items', count(*), 'order ' || min(l_orderkey) FROM lineitem WHERE l_linenumber = 4
+    """
+)
+def load_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What views show after two sets of tables and one that has failed midway."""
+    folder = new_folder(spark, "sets")
+    unique = uuid.uuid4().hex
+    # As file names; their tables are called likewise.
+    files = {name: f"{name}_{unique}{NAME_SUFFIX}" for name in ("orders", "items", "suppliers")}
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+
+    def release(number: int, status: str, line: int, **more: DataFrame) -> None:
+        parts = {
+            "orders": orders.filter(F.col("o_orderstatus") == status).select("o_orderkey"),
+            "items": lines.filter(F.col("l_linenumber") == line).select("l_orderkey"),
+            **more,
+        }
+        paths = [land(part, f"{folder}/raw{number}/{files[name]}") for name, part in parts.items()]
+        # The last file of the third set has no column for its rule.
+        broken = Dataset("broken", "suppliers", rules=(op.parse_timestamp("no_such_column"),))
+        load_release(spark, paths, f"{folder}/clean", [broken], at_once=1)
+
+    def counted(name: str, key: str) -> DataFrame:
+        view = spark.table(files[name].replace(NAME_SUFFIX, TABLE_POSTFIX))
+        first = F.concat(F.lit("order "), F.min(key).cast("string"))
+        return view.agg(F.lit(name).alias("name"), F.count("*").alias("n"), first.alias("first_key"))
+
+    release(1, "O", 1)
+    release(2, "F", 4)
+    try:
+        release(3, "P", 5, suppliers=table(spark, sf_dir, "supplier").select("s_name"))
+    except LoadError:
+        pass
+    return counted("orders", "o_orderkey").unionAll(counted("items", "l_orderkey"))

@@ -38,13 +38,13 @@ from millrace.operators.rules import Rule
 class Dataset:
     """How to read and clean the files whose name contains ``fragment``.
 
-    Give ``schema`` in production: without it every load infers the types,
-    which costs a second pass over the input. When types are inferred,
+    Give ``schema`` where the types are known: without it every load first writes
+    the cells to scratch to find the types they fit. When types are inferred,
     ``text_columns`` stay text and ``types`` sets those of other columns. Columns
     that a rule names belong in one of the two: a key is a text, and the type of
     a price must not depend on other rows. With ``infer=False`` all columns but
     those of ``types`` are text, and a load reads the header and then its input
-    once.
+    once. With ``by_name`` part files may have their columns in any order.
     """
 
     name: str
@@ -55,6 +55,7 @@ class Dataset:
     types: Mapping[str, str] = field(default_factory=dict)
     csv_options: Mapping[str, str] = field(default_factory=dict)
     infer: bool = True
+    by_name: bool = False
 
 
 # In the order their fragments are tried.

@@ -7,20 +7,23 @@ import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from functools import reduce
-from threading import Thread
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.observed import observed
 from millrace.plans.datasets import DATASETS, IDENTITY, Dataset, route_files
-from millrace.sources import read_csv_table
+from millrace.sinks.release import Release
+from millrace.sources import land_csv, read_csv_table
+from millrace.sources.paths import remove
 
 Sink = Callable[[DataFrame, str], None]
 
-# What load_files returns.
+# What load_files returns; the last column only if bad lines are kept.
 MANIFEST = "file string, rule string, table_name string, rows bigint"
+BAD_ROWS = ", bad_rows bigint"
 
 # Seconds in which the count of rows has to follow the write.
 COUNT_WAIT = 60.0
@@ -56,45 +59,82 @@ def _routes(spark: SparkSession, paths: Sequence[str], datasets: Sequence[Datase
     return route_files(files, datasets).collect()
 
 
-def _counted(written: Observation, path: str) -> int:
-    """The rows that the sink wrote. Spark reports them soon after the write; for
-    a sink that ran no job they would never come."""
-    found: list[int] = []
-    waiting = Thread(target=lambda: found.append(written.get["rows"]), daemon=True)
-    waiting.start()
-    waiting.join(COUNT_WAIT)
+def _written(clean: DataFrame, sink: Sink, table: str, path: str, wait: float | None) -> int:
+    """The rows that the sink wrote, counted in the stage that writes, where a
+    repeated task counts once."""
+    written = Observation()
+    sink(clean.observe(written, F.count(F.lit(1)).alias("rows")), table)
+    wait = COUNT_WAIT if wait is None else wait
+    found = observed(written, wait)
     if not found:
-        raise RuntimeError(f"the sink for {path} returned without having written its rows")
-    return found[0]
+        raise RuntimeError(
+            f"no count of {table} came within {wait:g} s: the sink for {path} returned without having "
+            "written its rows, or has replaced the table and Spark lost the count"
+        )
+    return found["rows"]
 
 
-def _load(spark: SparkSession, route: Row, sink: Sink, datasets: Sequence[Dataset]) -> Row:
+def _load(
+    spark: SparkSession,
+    route: Row,
+    sink: Sink,
+    datasets: Sequence[Dataset],
+    bad_lines: str | None = None,
+    count_wait: float | None = None,
+    loaded: Callable[[Row], None] | None = None,
+) -> Row:
     dataset = next((known for known in datasets if known.name == route.rule), IDENTITY)
     if dataset is IDENTITY:
         log.warning("no rule for %s, loading it as it is", route.file)
-    raw = read_csv_table(
-        spark,
-        route.path,
+    how = dict(
         schema=dataset.schema,
         text_columns=dataset.text_columns if dataset.schema is None else (),
         types=dataset.types if dataset.schema is None else None,
         options=dataset.csv_options,
         infer=dataset.infer,
+        by_name=dataset.by_name,
     )
-    clean = reduce(lambda df, rule: df.transform(rule), dataset.rules, raw)
-    # Counted in the stage that writes, where a repeated task counts once.
-    written = Observation()
-    sink(clean.observe(written, F.count(F.lit(1)).alias("rows")), route.table_name)
-    rows = _counted(written, route.path)
+    landed = None
+    if bad_lines is not None or dataset.by_name or dataset.schema is None and dataset.infer:
+        landed = land_csv(spark, route.path, bad_lines=bad_lines is not None, **how)
+    raw = landed.rows if landed else read_csv_table(spark, route.path, **how)
+    try:
+        clean = reduce(lambda df, rule: df.transform(rule), dataset.rules, raw)
+        counts = {}
+        if landed and landed.bad_lines is not None:
+            # First, as these never stand for the table itself.
+            lines = landed.bad_lines.select(F.lit(route.file).alias("file"), "raw_line")
+            table = route.table_name + bad_lines
+            counts["bad_rows"] = _written(lines, sink, table, route.path, count_wait)
+        rows = _written(clean, sink, route.table_name, route.path, count_wait)
+    finally:
+        if landed:
+            remove(spark, landed.folder)
     log.info("%s -> %s: %d rows", route.file, route.table_name, rows)
-    return Row(file=route.file, rule=route.rule, table_name=route.table_name, rows=rows)
+    done = Row(file=route.file, rule=route.rule, table_name=route.table_name, rows=rows, **counts)
+    if loaded:
+        loaded(Row(path=route.path, **done.asDict()))
+    return done
 
 
 def load_file(
-    spark: SparkSession, path: str, sink: Sink, datasets: Sequence[Dataset] = DATASETS
+    spark: SparkSession,
+    path: str,
+    sink: Sink,
+    datasets: Sequence[Dataset] = DATASETS,
+    bad_lines: str | None = None,
+    count_wait: float | None = None,
 ) -> Row:
-    """Read, clean and write one file, or one folder of part files."""
-    return _load(spark, _routes(spark, [path], datasets)[0], sink, datasets)
+    """Read, clean and write one file, or one folder of part files.
+
+    With ``bad_lines`` (a postfix such as ``"_bad"``) lines that are too short,
+    too long or have unreadable cells go through the same sink to a table of
+    that name, as ``file, raw_line``, and the rules never see them. Both come from
+    one scan. The rows written have to be known ``count_wait`` seconds after a
+    write (60 by default): an error that says so comes when the table has
+    already been replaced.
+    """
+    return _load(spark, _routes(spark, [path], datasets)[0], sink, datasets, bad_lines, count_wait)
 
 
 def load_files(
@@ -103,13 +143,19 @@ def load_files(
     sink: Sink,
     datasets: Sequence[Dataset] = DATASETS,
     at_once: int = 1,
+    bad_lines: str | None = None,
+    count_wait: float | None = None,
+    loaded: Callable[[Row], None] | None = None,
 ) -> DataFrame:
-    """Load files and return the manifest: file, rule, table and rows written.
+    """Load files and return the manifest: file, rule, table and rows written,
+    and with ``bad_lines`` (see :func:`load_file`) also the bad rows.
 
     Files are taken in order, ``at_once`` side by side, and the next is begun as
     soon as one is done, so that neither small nor large ones leave a cluster
     idle. After a failure no file is begun; those under way are finished, and
-    :class:`LoadError` tells of all. Tables already written stay.
+    :class:`LoadError` tells of all. Tables already written stay. ``loaded`` is
+    called with the path and the manifest row of each file once it is written,
+    on the thread that has loaded it; an error in it is a failure of that file.
     """
     routes = _routes(spark, paths, datasets)
     tables = [route.table_name for route in routes]
@@ -125,15 +171,34 @@ def load_files(
                 done, running = wait(running, return_when=FIRST_COMPLETED)
                 if any(job.exception() for job in done):
                     break
-            jobs.append(pool.submit(load, spark, route, sink, datasets))
+            jobs.append(pool.submit(load, spark, route, sink, datasets, bad_lines, count_wait, loaded))
             running.add(jobs[-1])
     # Leaving the pool has waited for those still under way.
-    loaded = [job.result() for job in jobs if not job.exception()]
+    finished = [job.result() for job in jobs if not job.exception()]
     failures = {
         route.path: job.exception()
         for route, job in zip(routes, jobs, strict=False)
         if job.exception()
     }
     if failures:
-        raise LoadError(failures, loaded) from next(iter(failures.values()))
-    return spark.createDataFrame(loaded, MANIFEST)
+        raise LoadError(failures, finished) from next(iter(failures.values()))
+    columns = MANIFEST + (BAD_ROWS if bad_lines is not None else "")
+    return spark.createDataFrame(finished, columns)
+
+
+def load_release(
+    spark: SparkSession,
+    paths: Sequence[str],
+    root: str,
+    datasets: Sequence[Dataset] = DATASETS,
+    at_once: int = 1,
+    bad_lines: str | None = None,
+) -> DataFrame:
+    """Load files as one set: their views change together once all are loaded.
+
+    After a failure every view is as before (:class:`millrace.sinks.Release`).
+    """
+    release = Release(spark, root)
+    manifest = load_files(spark, paths, release.sink, datasets, at_once, bad_lines)
+    release.publish()
+    return manifest

@@ -7,5 +7,13 @@ has to write ``clean`` or what it makes from it, first and once.
 
 from millrace.sinks.files import overwrite_parquet, publish_view
 from millrace.sinks.jdbc import overwrite_jdbc, staged_jdbc
+from millrace.sinks.release import Release, current_releases
 
-__all__ = ["overwrite_jdbc", "overwrite_parquet", "publish_view", "staged_jdbc"]
+__all__ = [
+    "Release",
+    "current_releases",
+    "overwrite_jdbc",
+    "overwrite_parquet",
+    "publish_view",
+    "staged_jdbc",
+]

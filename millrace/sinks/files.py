@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.rules import quoted
 from millrace.sources.paths import literal
@@ -22,6 +22,16 @@ def overwrite_parquet(root: str) -> Callable[[DataFrame, str], None]:
     return replace
 
 
+def view_parts(spark: SparkSession, table: str) -> list[str]:
+    """Database, if there is one, and view of a table's name."""
+    parts = table.split(".")
+    if len(parts) > 2 or not all(parts):
+        raise ValueError(f"not a name of a view: {table!r}")
+    if len(parts) == 2 and not spark.catalog.databaseExists(quoted(parts[0])):
+        raise ValueError(f"no database {parts[0]!r} for the view {table!r}")
+    return parts
+
+
 def publish_view(root: str) -> Callable[[DataFrame, str], None]:
     """Write each load to a folder of its own and point the view ``<table>`` at
     it once the write has committed.
@@ -35,11 +45,8 @@ def publish_view(root: str) -> Callable[[DataFrame, str], None]:
     """
 
     def replace(clean: DataFrame, table: str) -> None:
-        spark, parts = clean.sparkSession, table.split(".")
-        if len(parts) > 2 or not all(parts):
-            raise ValueError(f"not a name of a view: {table!r}")
-        if len(parts) == 2 and not spark.catalog.databaseExists(quoted(parts[0])):
-            raise ValueError(f"no database {parts[0]!r} for the view {table!r}")
+        spark = clean.sparkSession
+        parts = view_parts(spark, table)
         location = f"{root}/{table}/{uuid.uuid4().hex}"
         clean.write.parquet(location)
         view = ".".join(map(quoted, parts))

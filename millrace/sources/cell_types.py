@@ -1,0 +1,100 @@
+"""The type that text cells fit, as an aggregate.
+
+Spark's inference is a pass of its own over the input. Here a cell's kind is a bit
+and a column's kinds are one ``bit_or``, which a job that writes the cells can
+carry along; the cells are then cast from where they were written.
+
+Kinds and their common type are those of Spark's CSV reader, but for three odd
+cells: digits of other scripts are text, ``1e0`` is a double, and a column with
+both numbers and dates is text in whichever order they come.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    TimestampType,
+)
+
+INT, LONG, DECIMAL, DOUBLE, DATE, TIMESTAMP, BOOLEAN, TEXT = (1 << n for n in range(8))
+NUMBERS = INT | LONG | DECIMAL | DOUBLE
+
+# A whole number too large for a long also sets the bit of its digits.
+DIGITS = 8
+MOST_DIGITS = 38
+INT_DIGITS, LONG_DIGITS = 10, 20
+
+# How the reader spells what is no finite number.
+UNLIMITED = ("NaN", "+NaN", "-NaN", "Inf", "-Inf", "Infinity", "+Infinity", "-Infinity")
+
+_WHOLE = r"^[+-]?[0-9]+\.?$"
+_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_TIME = r"[0-9]-|:"
+# Only such cells are tried as a number or time, as failing to parse is slow.
+_NUMBER_OR_TIME = r"^[\x00-\x20]*[-+.0-9NIT]"
+
+
+def cell_kind(cell: Column) -> Column:
+    """Bits of one cell; 0 for NULL and for an empty one, which fit any type."""
+    digits = F.greatest(F.length(F.regexp_replace(cell, r"^[+-]?0*|\.$", "")), F.lit(1))
+    of_digits = F.call_function("shiftleft", F.lit(1).cast("long"), digits + DIGITS)
+    large = F.when(digits <= MOST_DIGITS, of_digits.bitwiseOR(F.lit(DECIMAL))).otherwise(DOUBLE)
+    whole = (
+        F.when(F.endswith(cell, F.lit(".")), large)
+        .when(cell.try_cast("int").isNotNull(), INT)
+        .when(cell.try_cast("bigint").isNotNull(), LONG)
+        .otherwise(large)
+    )
+    moment = cell.try_cast("timestamp").isNotNull()
+    time = (
+        F.when(cell.rlike(_DAY) & cell.try_cast("date").isNotNull(), DATE)
+        .when(moment, TIMESTAMP)
+        .otherwise(TEXT)
+    )
+    unlimited = F.contains(F.lower(cell), F.lit("n"))
+    double = cell.try_cast("double").isNotNull() & (~unlimited | F.trim(cell).isin(*UNLIMITED))
+    return (
+        F.when(cell.isNull() | (cell == ""), F.lit(0))
+        .when(cell.rlike(_WHOLE), whole)
+        .when(F.lower(cell).isin("true", "false"), BOOLEAN)
+        .when(~cell.rlike(_NUMBER_OR_TIME), TEXT)
+        .when(cell.rlike(_TIME), time)
+        .when(double, DOUBLE)
+        .when(moment, TIMESTAMP)
+        .otherwise(TEXT)
+        .cast("long")
+    )
+
+
+def common_type(kinds: int) -> DataType:
+    """The type that all cells of a column fit."""
+    families = [bool(kinds & NUMBERS), bool(kinds & (DATE | TIMESTAMP)), bool(kinds & BOOLEAN)]
+    if kinds & TEXT or sum(families) != 1:
+        return StringType()
+    if kinds & BOOLEAN:
+        return BooleanType()
+    if kinds & TIMESTAMP:
+        return TimestampType()
+    if kinds & DATE:
+        return DateType()
+    if kinds & DOUBLE:
+        return DoubleType()
+    if kinds & DECIMAL:
+        digits = (kinds >> DIGITS).bit_length() - 1
+        least = LONG_DIGITS if kinds & LONG else INT_DIGITS if kinds & INT else 1
+        return DecimalType(max(digits, least), 0)
+    return LongType() if kinds & LONG else IntegerType()
+
+
+def cast_cell(cell: Column, kind: DataType) -> Column:
+    """The value of a cell that fits ``kind``; an empty one is NULL."""
+    return cell if isinstance(kind, StringType) else F.nullif(cell, F.lit("")).try_cast(kind)

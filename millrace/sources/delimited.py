@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
+from millrace.observed import observed
 from millrace.operators.rules import quoted
-from millrace.sources.paths import literals
+from millrace.session import new_folder
+from millrace.sources.cell_types import cast_cell, cell_kind, common_type
+from millrace.sources.paths import first_line, literals, part_files
 
 # Reader options for fields with line breaks and doubled quotes. Such a file
 # cannot be split: one task reads it, so land it as many files of bounded size
@@ -19,6 +26,11 @@ MULTILINE = {"multiLine": "true", "escape": '"'}
 
 # With these a line of the file is not a line of plain text.
 _NEEDS_FILES = {"multiline", "linesep", "encoding", "charset"}
+# With these, or a setting for old parsers, what a cell stands for is Spark's to say.
+_PARSES_TYPES = {
+    "dateformat", "timestampformat", "timestampntzformat", "locale", "preferdate", "nanvalue",
+    "positiveinf", "negativeinf", "samplingratio", "enabledatetimeparsingfallback", "nullvalue", "emptyvalue",
+}
 _LEAST_LONG = -(2**63)
 
 
@@ -73,6 +85,241 @@ def _named_as_in_header(
     return first is not None and list(first) == names
 
 
+def _parses_types(spark: SparkSession, options: Mapping[str, str] | None) -> bool:
+    return bool(
+        _PARSES_TYPES & {name.lower() for name in options or {}}
+        or spark.conf.get("spark.sql.timestampType", "TIMESTAMP_LTZ") != "TIMESTAMP_LTZ"
+        or spark.conf.get("spark.sql.legacy.timeParserPolicy", "CORRECTED") == "LEGACY"
+    )
+
+
+def _header(
+    spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None
+) -> tuple[list[str], bool]:
+    """Column names as Spark gives them, and whether the header has these.
+
+    One job takes the first line of the files; what Spark makes of it needs none.
+    """
+    names = {name.lower(): value for name, value in (options or {}).items()}
+    if not _NEEDS_FILES & set(names):
+        lines = spark.read.options(**(options or {})).text(literals(path)).filter("trim(value) != ''")
+        if names.get("comment"):
+            lines = lines.filter(~F.startswith("value", F.lit(names["comment"])))
+        try:
+            line = lines.select("value").first()
+            if not line:
+                raise ValueError(f"no header line in {path}")
+            return _names_in(spark, line[0], options)
+        except AttributeError:
+            pass
+    schema = infer_csv_schema(spark, path, options, all_text=True)
+    return schema.names, _named_as_in_header(spark, path, schema.names, options)
+
+
+def _names_in(
+    spark: SparkSession, line: str, options: Mapping[str, str] | None
+) -> tuple[list[str], bool]:
+    given = {name.lower(): value for name, value in (options or {}).items()}
+    sep = given.get("sep", given.get("delimiter", ","))
+    if set(given) <= {"sep", "delimiter", "comment", "mode"} and '"' not in line and "\\" not in sep + line:
+        names = line.split(sep)
+        if all(names) and len({name.lower() for name in names}) == len(names):
+            return names, True
+    # What Spark makes of quotes, and which names it gives to columns without one.
+    one = spark.createDataFrame(pa.table({"value": [line]}))
+    as_strings = getattr(one._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+
+    def parsed(header: str) -> DataFrame:
+        reader = spark.read.options(**(options or {})).options(header=header, inferSchema="false")
+        return DataFrame(reader._jreader.csv(as_strings), spark)
+
+    names, written = parsed("true").columns, parsed("false").first()
+    return names, written is not None and list(written) == names
+
+
+# Files whose first line is read side by side.
+HEADERS_AT_ONCE = 32
+
+
+def header_groups(
+    spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None = None
+) -> dict[tuple[str, ...], list[str]]:
+    """Part files by the column names of their header, in the order of the files.
+
+    The driver opens each file and reads its first line, as a scan would have to
+    read all lines for that. Names that repeat or are empty cannot be told apart
+    and are refused, as are files without a header.
+    """
+    given = {name.lower(): value for name, value in (options or {}).items()}
+    if "linesep" in given:
+        raise ValueError("columns by name need lines that end as usual")
+    encoding = given.get("encoding", given.get("charset", "UTF-8"))
+    files = part_files(spark, path)
+    if not files:
+        raise ValueError(f"no header line in {path}")
+    with ThreadPoolExecutor(min(len(files), HEADERS_AT_ONCE)) as pool:
+        lines = list(
+            pool.map(lambda file: first_line(spark, file, encoding, given.get("comment", "")), files)
+        )
+    by_line: dict[str, list[str]] = {}
+    for file, line in zip(files, lines, strict=True):
+        if line is None:
+            raise ValueError(f"no header line in {file}")
+        by_line.setdefault(line, []).append(file)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for line, of_line in by_line.items():
+        names, as_written = _names_in(spark, line, options)
+        if not as_written:
+            raise ValueError(f"{of_line[0]} repeats column names or leaves them empty")
+        groups.setdefault(tuple(names), []).extend(of_line)
+    return groups
+
+
+@dataclass(frozen=True)
+class Landed:
+    """Rows of CSV files that one scan has written as columns.
+
+    ``rows`` have their types, ``bad_lines`` (``raw_line``) are those that do not
+    parse, if they were asked for; both read from ``folder``, which is scratch.
+    """
+
+    rows: DataFrame
+    bad_lines: DataFrame | None
+    folder: str
+
+
+def _fields(schema: StructType, given: Mapping[str, str]) -> list[StructField]:
+    """The columns, with the types that are given by name in any case."""
+    return [
+        StructField(f.name, DataType.fromDDL(given[f.name.lower()])) if f.name.lower() in given else f
+        for f in schema.fields
+    ]
+
+
+def _given(text_columns: Collection[str], types: Mapping[str, str] | None) -> dict[str, str]:
+    given = {name.lower(): "string" for name in text_columns}
+    return given | {name.lower(): kind for name, kind in (types or {}).items()}
+
+
+def land_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str | None = None,
+    text_columns: Collection[str] = (),
+    types: Mapping[str, str] | None = None,
+    options: Mapping[str, str] | None = None,
+    bad_lines: bool = False,
+    corrupt_column: str | None = None,
+    infer: bool = True,
+    by_name: bool = False,
+) -> Landed:
+    """Scan the files once and write their cells as columns to the shared folder.
+
+    Which types the cells of each column fit is found in the same job, where they
+    are still text; the rows that come back cast them. With ``bad_lines``
+    lines that are too short, too long or have unreadable cells go to a folder
+    of their own and are no rows; types are then those of the others.
+    """
+    raw = "raw_line" if bad_lines else corrupt_column
+    groups = header_groups(spark, path, options) if by_name else None
+    given = _given(text_columns, types)
+    fields, open_columns, checked = [], [], True
+    if schema is not None:
+        fields = list((StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields)
+    else:
+        names, checked = (next(iter(groups)), True) if groups else _header(spark, path, options)
+        columns = StructType([StructField(name, StringType()) for name in names])
+        if infer and not _parses_types(spark, options):
+            open_columns = [i for i, f in enumerate(columns) if f.name.lower() not in given]
+        elif infer:
+            if groups:
+                raise ValueError("columns by name need a schema where options say how cells are read")
+            columns = infer_csv_schema(spark, path, options)
+        fields = _fields(columns, given)
+    if bad_lines:
+        while raw.lower() in {f.name.lower() for f in fields}:
+            raw += "_"
+    read = (
+        _by_name(spark, groups, fields, raw, options)
+        if groups
+        else _reader(spark, path, fields, raw, options, checked)
+    )
+
+    # Names of one's own: a file may have any.
+    cells = [F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]
+    if raw:
+        cells += [F.col(quoted(raw)).alias("raw_line"), F.col(quoted(raw)).isNotNull().alias("bad")]
+    written = read.select(cells)
+    fits = [F.col(f"c{i}") for i in open_columns]
+    if bad_lines:
+        fits = [F.when(F.col("raw_line").isNull(), cell) for cell in fits]
+    kinds = [F.bit_or(cell_kind(cell)).alias(f"k{i}") for i, cell in zip(open_columns, fits, strict=True)]
+    seen = Observation()
+    folder = new_folder(spark, "landed")
+    writer = (written.observe(seen, *kinds) if kinds else written).write
+    (writer.partitionBy("bad") if bad_lines else writer).parquet(folder)
+
+    stored = spark.read.schema(written.schema).parquet(folder)
+    if schema is not None and not groups and not stored.take(1):
+        _need_header(spark, path)
+    found = {}
+    if kinds:
+        # The columns still have the answer if Spark's event has been lost.
+        found = observed(seen) or stored.agg(*kinds).first().asDict()
+    kind_of = {i: common_type(found[f"k{i}"] or 0) for i in open_columns}
+    columns = [
+        cast_cell(F.col(f"c{i}"), kind_of.get(i, f.dataType)).alias(f.name)
+        if i in kind_of
+        else F.col(f"c{i}").alias(f.name)
+        for i, f in enumerate(fields)
+    ]
+    if bad_lines:
+        good = stored.filter("NOT bad").select(columns)
+        return Landed(good, stored.filter("bad").select("raw_line"), folder)
+    if raw:
+        columns.append(F.col("raw_line").alias(raw))
+    return Landed(stored.select(columns), None, folder)
+
+
+def _need_header(spark: SparkSession, path: str | list[str]) -> None:
+    if not spark.read.text(literals(path)).filter("trim(value) != ''").take(1):
+        raise ValueError(f"no header line in {path}")
+
+
+def _by_name(
+    spark: SparkSession,
+    groups: Mapping[tuple[str, ...], list[str]],
+    fields: list[StructField],
+    corrupt_column: str | None,
+    options: Mapping[str, str] | None,
+) -> DataFrame:
+    """The files of each header read by it, with the columns in the order of ``fields``."""
+    wanted = {f.name: f for f in fields}
+    parts = []
+    for names, files in groups.items():
+        if set(names) != set(wanted):
+            raise ValueError(f"{files[0]} has columns {sorted(names)} instead of {sorted(wanted)}")
+        part = _reader(spark, files, [wanted[name] for name in names], corrupt_column, options, True)
+        extra = [corrupt_column] if corrupt_column else []
+        parts.append(part.select([quoted(name) for name in [*wanted, *extra]]))
+    return reduce(DataFrame.union, parts)
+
+
+def _reader(
+    spark: SparkSession,
+    path: str | list[str],
+    fields: list[StructField],
+    corrupt_column: str | None,
+    options: Mapping[str, str] | None,
+    checked: bool,
+) -> DataFrame:
+    reader = spark.read.options(**(options or {}))
+    if corrupt_column:
+        fields = [*fields, StructField(corrupt_column, StringType())]
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+    return reader.schema(StructType(fields)).csv(literals(path), header=True, enforceSchema=not checked)
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str | list[str],
@@ -82,51 +329,49 @@ def read_csv_table(
     corrupt_column: str | None = None,
     options: Mapping[str, str] | None = None,
     infer: bool = True,
+    by_name: bool = False,
 ) -> DataFrame:
     """Read a file, a folder of part files, or a list of either.
 
-    Without ``schema`` the types are inferred, which reads the input twice;
-    ``text_columns`` keep their text whatever it looks like, and ``types`` gives
+    The files are scanned once, unless an option says how cells of some type are
+    written. Without ``schema`` the types are inferred: the call writes the cells
+    as columns to the shared folder (:func:`land_csv`), and the result reads
+    those. ``text_columns`` keep
+    their text whatever it looks like, and ``types`` gives
     single columns a type (names are compared as Spark does, in any case). With
     ``infer=False`` columns without a type are text; then, and with ``schema``
-    (a ``StructType`` or DDL text), the input is read once. Either way
+    (a ``StructType`` or DDL text), nothing is written. Either way
     a part file whose header differs is an error, unless names are repeated or
     empty and no schema is given.
 
+    With ``by_name`` part files may have their columns in any order, as long as
+    each has them all (:func:`header_groups`); this also goes by the shared folder.
+
     ``corrupt_column`` adds the raw line of every row that is too short, too
     long or has unreadable cells, and NULL for the rest, whichever columns are
     selected later. For that every column is parsed whenever it is used.
     """
-    reader = spark.read.options(**(options or {}))
     declared = schema is not None
+    if by_name or not declared and infer and not _parses_types(spark, options):
+        return land_csv(
+            spark, path, schema, text_columns, types, options,
+            corrupt_column=corrupt_column, infer=infer, by_name=by_name,
+        ).rows
     if not declared:
         schema = infer_csv_schema(spark, path, options, all_text=not infer)
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    given = {name.lower(): "string" for name in text_columns}
-    given |= {name.lower(): kind for name, kind in (types or {}).items()}
-    fields = [
-        StructField(f.name, DataType.fromDDL(given[f.name.lower()]))
-        if f.name.lower() in given
-        else f
-        for f in schema.fields
-    ]
+    fields = _fields(schema, _given(text_columns, types))
     checked = declared or _named_as_in_header(spark, path, schema.names, options)
-    if corrupt_column:
-        fields.append(StructField(corrupt_column, StringType()))
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    df = reader.schema(StructType(fields)).csv(
-        literals(path), header=True, enforceSchema=not checked
-    )
+    df = _reader(spark, path, fields, corrupt_column, options, checked)
     # The first row shows a wrong header before a load replaces anything. Only
     # if there is none does the header have to be looked for.
     if declared and not df.take(1):
-        if not spark.read.text(literals(path)).filter("trim(value) != ''").take(1):
-            raise ValueError(f"no header line in {path}")
-    if corrupt_column and len(fields) > 1:
+        _need_header(spark, path)
+    if corrupt_column and fields:
         # A scan flags what it notices in the columns it reads. The comparison
         # always holds, but Spark cannot know that, so it reads them all.
-        cells = F.xxhash64(*[quoted(f.name) for f in fields[:-1]])
+        cells = F.xxhash64(*[quoted(f.name) for f in fields])
         flag = F.when(cells >= F.lit(_LEAST_LONG), F.col(quoted(corrupt_column)))
         df = df.withColumn(corrupt_column, flag)
     return df

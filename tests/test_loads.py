@@ -1,5 +1,6 @@
 import dataclasses
 import datetime as dt
+import os
 import threading
 
 import pytest
@@ -14,8 +15,19 @@ from millrace.fixed_values import (
     PAYMENTS,
     PRODUCTS,
 )
-from millrace.plans import DATASETS, Dataset, LoadError, load_file, load_files
-from millrace.sinks import overwrite_parquet, publish_view
+from millrace.plans import (
+    DATASETS,
+    Dataset,
+    LoadError,
+    load_file,
+    load_files,
+    load_folder,
+    load_release,
+    read_ledger,
+)
+from millrace.session import scratch_dir
+from millrace.sinks import Release, current_releases, overwrite_parquet, publish_view
+from millrace.sources import read_csv_table
 
 
 def values(df):
@@ -274,3 +286,145 @@ def test_a_dot_in_a_view_name_names_a_database(spark, csv_file, tmp_path):
     spark.sql("CREATE DATABASE lookup")
     load_file(spark, csv_file("lookup.csv", "a", "1"), sink)
     assert spark.table("lookup.csv_data").count() == 1
+
+
+# --- Bad lines -------------------------------------------------------------
+
+
+def test_bad_lines_go_to_a_table_of_their_own(spark, csv_file, clean):
+    path = csv_file(f"{ITEMS}.csv", "order_id,price", "a,10.5", "b", "c,1,2", "d,many", "e,0")
+    done = load_file(spark, path, clean, bad_lines="_bad")
+    assert (done.rows, done.bad_rows) == (1, 3)
+    assert values(clean.read("order_items_data")) == [("a", 10.5)]
+    assert values(clean.read("order_items_data_bad")) == [
+        (f"{ITEMS}.csv", line) for line in ["b", "c,1,2", "d,many"]
+    ]
+    manifest = load_files(spark, [csv_file("none.csv", "a", "1")], clean, bad_lines="_bad")
+    assert manifest.columns[-1] == "bad_rows" and manifest.first().bad_rows == 0
+    assert values(clean.read("none.csv_data_bad")) == []
+
+
+def test_a_load_leaves_no_scratch(spark, csv_file, clean):
+    def landed():
+        return [name for name in os.listdir(scratch_dir(spark).removeprefix("file:")) if "landed" in name]
+
+    read_csv_table(spark, csv_file("first.csv", "a", "1"))
+    before = landed()
+    assert before
+    load_file(spark, csv_file("a.csv", "a", "1"), clean, bad_lines="_bad")
+    with pytest.raises(Exception, match="no_price"):
+        load_file(spark, csv_file(f"{ITEMS}.csv", "no_price", "1"), clean)
+    assert landed() == before
+
+
+def test_reordered_part_files_of_a_dataset(spark, csv_file, clean):
+    csv_file("mixed.csv/a.csv", "a,b", "1,x")
+    path = csv_file("mixed.csv/b.csv", "b,a", "y,2").rsplit("/", 1)[0]
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        load_file(spark, path, clean)
+    load_file(spark, path, clean, datasets=[Dataset("mixed", "mixed", by_name=True)])
+    assert values(clean.read("mixed.csv_data")) == [(1, "x"), (2, "y")]
+
+
+# --- Resuming --------------------------------------------------------------
+
+
+def test_a_rerun_loads_what_is_left(spark, csv_file, tmp_path, clean):
+    for name in ["a.csv", "b.csv", "c.csv", "d.csv"]:
+        path = csv_file(f"in/{name}", "v", "1")
+    folder, ledger = path.rsplit("/", 1)[0], str(tmp_path / "ledger")
+    asked = []
+
+    def failing(df, table):
+        asked.append(table)
+        if table == "c.csv_data" and asked.count(table) == 1:
+            raise OSError("no space")
+        clean(df, table)
+
+    with pytest.raises(LoadError):
+        load_folder(spark, folder, failing, ledger)
+    assert [row.file for row in load_folder(spark, folder, failing, ledger, at_once=2).collect()] == ["c.csv", "d.csv"]
+    assert load_folder(spark, folder, failing, ledger).collect() == []
+    csv_file("in/b.csv", "v", "1", "2")
+    csv_file("in/e.csv", "v", "5")
+    again = load_folder(spark, folder, failing, ledger)
+    assert [(row.file, row.rows) for row in again.collect()] == [("b.csv", 2), ("e.csv", 1)]
+    rows = {row.file: row.rows for row in read_ledger(spark, ledger).collect()}
+    assert rows == {"a.csv": 1, "b.csv": 2, "c.csv": 1, "d.csv": 1, "e.csv": 1}
+    assert sorted(asked) == [f"{name}.csv_data" for name in "abbccde"]
+
+
+def test_files_of_one_table_are_loaded_again_together(spark, csv_file, tmp_path, clean):
+    csv_file(f"in/1_{NAME_PREFIX}t{NAME_SUFFIX}", "v", "1")
+    path = csv_file(f"in/{NAME_PREFIX}1_t{NAME_SUFFIX}", "v", "2")
+    folder, ledger = path.rsplit("/", 1)[0], str(tmp_path / "ledger")
+    assert load_folder(spark, folder, clean, ledger).count() == 2
+    csv_file(f"in/1_{NAME_PREFIX}t{NAME_SUFFIX}", "v", "1", "3")
+    assert load_folder(spark, folder, clean, ledger).count() == 2
+    assert values(clean.read("1_t_data")) == [(2,)]
+
+
+# --- Sets of tables --------------------------------------------------------
+
+
+@pytest.fixture
+def tables(spark, csv_file, tmp_path):
+    """Load named files as a set of views that only this test has."""
+    unique = tmp_path.name.replace("-", "_")
+
+    def load(rows, datasets=(), **how):
+        paths = [
+            csv_file(f"{sum(map(len, rows.values()))}/{NAME_PREFIX}{name}_{unique}{NAME_SUFFIX}", *lines)
+            for name, lines in rows.items()
+        ]
+        return load_release(spark, paths, str(tmp_path / "root"), list(datasets), **how)
+
+    load.read = lambda name: spark.table(f"{name}_{unique}_data")
+    load.root = str(tmp_path / "root")
+    return load
+
+
+def test_a_set_with_a_failing_last_file_changes_no_table(spark, tables):
+    tables({"a": ["v", "1"], "b": ["w", "x"], "z": ["n", "0"]})
+    first = current_releases(spark, tables.root).collect()
+    bad = Dataset("bad", f"{NAME_PREFIX}z", rules=(lambda df: df.selectExpr("raise_error('no') AS n"),))
+    with pytest.raises(LoadError) as failure:
+        tables({"a": ["v", "2", "3"], "b": ["w", "y", "z"], "z": ["n", "9"]}, [bad])
+    assert len(failure.value.loaded) == 2
+    assert [values(tables.read(name)) for name in "abz"] == [[(1,)], [("x",)], [(0,)]]
+    assert current_releases(spark, tables.root).collect() == first
+
+    tables({"a": ["v", "4", "5", "6"], "b": ["w", "u", "v"]})
+    assert [values(tables.read(name)) for name in "abz"] == [[(4,), (5,), (6,)], [("u",), ("v",)], [(0,)]]
+
+
+def test_views_follow_one_pointer(spark, tables, tmp_path, plan_of):
+    tables({"a": ["v", "1"], "b": ["v", "1"]})
+    release = Release(spark, tables.root)
+    for name in "ab":
+        release.sink(spark.sql("SELECT 7 AS v"), tables.read(name).inputFiles()[0].split("/tables/")[1].split("/")[0])
+    # Written, but seen only after the switch, which needs no view to change.
+    assert [values(tables.read(name)) for name in "ab"] == [[(1,)], [(1,)]]
+    before = spark.catalog.listTables()
+    release.publish()
+    assert [values(tables.read(name)) for name in "ab"] == [[(7,)], [(7,)]]
+    assert spark.catalog.listTables() == before
+    plan = plan_of(tables.read("a"))
+    assert "PartitionFilters: [isnotnull(release" in plan and "Subquery" in plan
+
+
+def test_a_set_may_change_columns(spark, tables):
+    tables({"a": ["v,release", "1,old"]})
+    assert values(tables.read("a")) == [(1, "old")]
+    tables({"a": ["release,more", "new,2"]})
+    assert tables.read("a").columns == ["release", "more"]
+    assert values(tables.read("a")) == [("new", 2)]
+    tables({"a": ["v,release", "5,back", "6,again"]})
+    assert values(tables.read("a")) == [(5, "back"), (6, "again")]
+
+
+def test_releases_are_in_order_whatever_the_clock_says(spark, tables, monkeypatch):
+    tables({"a": ["v", "1"]})
+    monkeypatch.setattr("millrace.sinks.release.time.time_ns", lambda: 5)
+    tables({"a": ["v", "2", "3"]})
+    assert values(tables.read("a")) == [(2,), (3,)]

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrameReader
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.catalogue import land
-from millrace.sources import MULTILINE, infer_csv_schema, list_files, read_csv_table
+from millrace.sources import (
+    MULTILINE,
+    header_groups,
+    infer_csv_schema,
+    land_csv,
+    list_files,
+    read_csv_table,
+)
 
 
 def types(df):
@@ -268,3 +275,145 @@ def test_listing_tasks_grow_with_files(spark, tmp_path, plan_of, monkeypatch):
     for n in range(35):
         (tmp_path / f"f{n}.csv").write_text("x")
     assert "Coalesce 4" in plan_of(list_files(spark, str(tmp_path)))
+
+
+# --- One scan --------------------------------------------------------------
+
+CELLS = [
+    *["1", "-5", "+7", " 5", "007", "2147483648", "9223372036854775808", "9" * 38, "9" * 39, "1.", "100."],
+    *["1.5", ".5", ".", "1e5", "1d", "0x1p3", "NaN", "nan", "Inf", "inf", "+Inf", "-Infinity", "-", "", "0"],
+    *["TRUE", "False", "t", "2017", "2017-10", "2017-10-02", "2017-1-2", " 2017-10-02", "2017-13-01"],
+    *["2017-10-02 10:56:33", "2017-10-02T10:56Z", "+2017-10-02", "2017/10/02", "abc", "é", "1-2", "N", "--1"],
+]
+
+
+def test_the_type_of_each_cell_is_sparks(spark, csv_file):
+    names = ",".join(f"c{i}" for i in range(len(CELLS)))
+    path = csv_file("cells.csv", names, ",".join(CELLS))
+    expected = spark.read.csv(path, header=True, inferSchema=True)
+    df = read_csv_table(spark, path)
+    assert df.schema == expected.schema
+    assert str(values(df)) == str(values(expected))
+
+
+def test_the_type_of_a_column_is_sparks(spark, csv_file):
+    draw = random.Random(6)
+    families = [
+        ["1", "-5", "2147483648", "12345678901234567890", "1.5", "1e5", ""],
+        ["1", "2147483648", "12345678901234567890"],
+        ["2017-10-02", "2017-10-02 10:56:33", ""],
+        ["true", "FALSE", ""],
+        ["1", "true", "2017-10-02", "x"],
+    ]
+    columns = [draw.choices(draw.choice(families), k=4) for _ in range(40)]
+    path = csv_file(
+        "columns.csv", ",".join(f"c{i}" for i in range(len(columns))), *map(",".join, zip(*columns, strict=True))
+    )
+    expected = spark.read.csv(path, header=True, inferSchema=True)
+    df = read_csv_table(spark, path)
+    assert df.schema == expected.schema
+    assert str(values(df)) == str(values(expected))
+
+
+def test_numbers_and_dates_are_text_in_any_order(spark, csv_file):
+    for name, cells in [("a", ["2017", "2017-10-02"]), ("b", ["2017-10-02", "2017"])]:
+        df = read_csv_table(spark, csv_file(f"{name}.csv", "c", *cells))
+        assert df.dtypes == [("c", "string")] and [row.c for row in df.collect()] == cells
+
+
+def test_types_are_found_in_one_scan(spark, csv_file, plan_of):
+    csv_file("once.csv/a.csv", "k,v", *["1,2017-10-02"] * 10)
+    path = csv_file("once.csv/b.csv", "k,v", *["3,2017-10-03"] * 10).rsplit("/", 1)[0]
+    spark.sparkContext.setJobGroup("scan", "")
+    try:
+        df = read_csv_table(spark, path)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in sorted(tracker.getJobIdsForGroup("scan"))]
+    tasks = [tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+    # The first line, then all of both files.
+    assert tasks == [1, 2]
+    assert "csv" not in plan_of(df).lower().replace("once.csv", "") and "FileScan parquet" in plan_of(df)
+    assert df.dtypes == [("k", "int"), ("v", "date")] and df.count() == 20
+
+
+def test_lost_metrics_are_made_up_for(spark, csv_file, monkeypatch):
+    monkeypatch.setattr("millrace.sources.delimited.observed", lambda seen: None)
+    df = read_csv_table(spark, csv_file("a.csv", "n,t", "1,x", "2,"))
+    assert df.dtypes == [("n", "int"), ("t", "string")] and values(df) == [(1, "x"), (2, None)]
+
+
+def test_any_column_names_are_landed(spark, csv_file):
+    path = csv_file("n.csv", 'a b,"c,d",c0,bad,raw_line,`x`,é.f', "1,2,3,4,5,6,7", "1,2,3,4,5,6")
+    names = ["a b", "c,d", "c0", "bad", "raw_line", "`x`", "é.f"]
+    df = read_csv_table(spark, path)
+    assert df.columns == names and values(df)[0] == (1, 2, 3, 4, 5, 6, 7)
+    told = read_csv_table(spark, path, corrupt_column="told")
+    assert told.columns == [*names, "told"]
+    assert [row.told for row in told.collect()] == [None, "1,2,3,4,5,6"]
+    landed = land_csv(spark, path, bad_lines=True)
+    assert landed.rows.columns == names and values(landed.rows) == [(1, 2, 3, 4, 5, 6, 7)]
+    assert values(landed.bad_lines) == [("1,2,3,4,5,6",)]
+
+
+def test_options_about_cells_are_sparks_to_handle(spark, csv_file):
+    path = csv_file("d.csv", "d,n", "02/10/2017,NA", "03/10/2017,1")
+    options = {"dateFormat": "dd/MM/yyyy", "nullValue": "NA"}
+    df = read_csv_table(spark, path, options=options)
+    assert df.dtypes == [("d", "date"), ("n", "int")]
+    assert values(df) == [(dt.date(2017, 10, 2), None), (dt.date(2017, 10, 3), 1)]
+    landed = land_csv(spark, path, options=options, bad_lines=True)
+    assert values(landed.rows) == values(df) and values(landed.bad_lines) == []
+
+
+# --- Bad lines, columns by name --------------------------------------------
+
+
+def test_types_are_those_of_the_good_lines(spark, csv_file):
+    path = csv_file("b.csv", "a,b", "1,2", "x", "3,4,5", "6,7")
+    landed = land_csv(spark, path, bad_lines=True)
+    assert landed.rows.dtypes == [("a", "int"), ("b", "int")]
+    assert sorted(values(landed.rows)) == [(1, 2), (6, 7)]
+    assert sorted(values(landed.bad_lines)) == [("3,4,5",), ("x",)]
+    typed = land_csv(spark, path, schema="a int, b int", bad_lines=True)
+    assert sorted(values(typed.rows)) == [(1, 2), (6, 7)]
+    with pytest.raises(ValueError, match="no header line"):
+        land_csv(spark, csv_file("zero.csv"), schema="a int", bad_lines=True)
+
+
+def test_part_files_by_name(spark, csv_file):
+    csv_file("p 1.csv/a.csv", "id,name", "1,x", "2,")
+    csv_file("p 1.csv/b.csv", "", "name,id", "y,2.5")
+    path = csv_file("p 1.csv/c[1].csv", '"id",name', "3,z").rsplit("/", 1)[0]
+    groups = header_groups(spark, path)
+    assert {names: len(files) for names, files in groups.items()} == {("id", "name"): 2, ("name", "id"): 1}
+    df = read_csv_table(spark, path, by_name=True)
+    assert df.dtypes == [("id", "double"), ("name", "string")]
+    assert sorted(values(df), key=str) == [(1.0, "x"), (2.0, None), (2.5, "y"), (3.0, "z")]
+    declared = read_csv_table(spark, path, schema="name string, id double", by_name=True)
+    assert sorted(values(declared), key=str) == sorted([(b, a) for a, b in values(df)], key=str)
+    told = read_csv_table(spark, path, types={"id": "int"}, corrupt_column="raw", by_name=True)
+    assert [r.raw for r in told.collect() if r.raw] == ["y,2.5"]
+
+
+def test_part_files_without_all_columns_are_refused(spark, csv_file):
+    csv_file("m.csv/a.csv", "id,name", "1,x")
+    path = csv_file("m.csv/b.csv", "id,nom", "1,x").rsplit("/", 1)[0]
+    with pytest.raises(ValueError, match=r"b\.csv has columns"):
+        read_csv_table(spark, path, by_name=True)
+    for header in ["id,id", "id,"]:
+        with pytest.raises(ValueError, match="repeats"):
+            read_csv_table(spark, csv_file("r.csv", header, "1,2"), by_name=True)
+    with pytest.raises(ValueError, match="no header line"):
+        read_csv_table(spark, csv_file("zero.csv"), by_name=True)
+
+
+def test_compressed_part_files_by_name(spark, tmp_path):
+    path = str(tmp_path / "z.csv")
+    for names in (["a", "b"], ["b", "a"]):
+        spark.range(3).selectExpr("id AS a", "id * 2 AS b").select(names).write.mode("append").csv(
+            path, header=True, compression="gzip"
+        )
+    read = read_csv_table(spark, path, by_name=True).select("a", "b")
+    assert sorted(values(read)) == [(0, 0), (0, 0), (1, 2), (1, 2), (2, 4), (2, 4)]
