@@ -38,8 +38,9 @@ from millrace.operators.rules import Rule
 class Dataset:
     """How to read and clean the files whose name contains ``fragment``.
 
-    Give ``schema`` where the types are known: without it every load first writes
-    the cells to scratch to find the types they fit. When types are inferred,
+    Give ``schema`` in production: without it the types are guessed from the first
+    lines, and a load whose later rows do not fit them starts again, with a pass
+    over the input to infer them. When types are inferred,
     ``text_columns`` stay text and ``types`` sets those of other columns. Columns
     that a rule names belong in one of the two: a key is a text, and the type of
     a price must not depend on other rows. With ``infer=False`` all columns but

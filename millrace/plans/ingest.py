@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from millrace.observed import observed
 from millrace.plans.datasets import DATASETS, IDENTITY, Dataset, route_files
 from millrace.sinks.release import Release
-from millrace.sources import land_csv, read_csv_table
+from millrace.sources import guess_csv_table, land_csv, read_csv_table
+from millrace.sources.delimited import MISFITS
 from millrace.sources.paths import remove
 
 Sink = Callable[[DataFrame, str], None]
@@ -87,29 +88,39 @@ def _load(
     if dataset is IDENTITY:
         log.warning("no rule for %s, loading it as it is", route.file)
     how = dict(
-        schema=dataset.schema,
         text_columns=dataset.text_columns if dataset.schema is None else (),
         types=dataset.types if dataset.schema is None else None,
         options=dataset.csv_options,
-        infer=dataset.infer,
-        by_name=dataset.by_name,
     )
-    landed = None
-    if bad_lines is not None or dataset.by_name or dataset.schema is None and dataset.infer:
-        landed = land_csv(spark, route.path, bad_lines=bad_lines is not None, **how)
-    raw = landed.rows if landed else read_csv_table(spark, route.path, **how)
-    try:
+    fixed = dict(schema=dataset.schema, infer=dataset.infer, by_name=dataset.by_name)
+
+    def write(raw: DataFrame) -> int:
         clean = reduce(lambda df, rule: df.transform(rule), dataset.rules, raw)
-        counts = {}
-        if landed and landed.bad_lines is not None:
+        return _written(clean, sink, route.table_name, route.path, count_wait)
+
+    counts = {}
+    if bad_lines is not None:
+        landed = land_csv(spark, route.path, **how, **fixed)
+        try:
             # First, as these never stand for the table itself.
             lines = landed.bad_lines.select(F.lit(route.file).alias("file"), "raw_line")
-            table = route.table_name + bad_lines
-            counts["bad_rows"] = _written(lines, sink, table, route.path, count_wait)
-        rows = _written(clean, sink, route.table_name, route.path, count_wait)
-    finally:
-        if landed:
+            counts["bad_rows"] = _written(
+                lines, sink, route.table_name + bad_lines, route.path, count_wait
+            )
+            rows = write(landed.rows)
+        finally:
             remove(spark, landed.folder)
+    else:
+        guess = None
+        if dataset.schema is None and dataset.infer and not dataset.by_name:
+            guess = guess_csv_table(spark, route.path, **how)
+        try:
+            rows = write(guess if guess else read_csv_table(spark, route.path, **how, **fixed))
+        except Exception as error:
+            if not guess or not any(text in str(error) for text in MISFITS):
+                raise
+            log.info("the types of %s are not those of its first lines", route.file)
+            rows = write(read_csv_table(spark, route.path, **how, **fixed))
     log.info("%s -> %s: %d rows", route.file, route.table_name, rows)
     done = Row(file=route.file, rule=route.rule, table_name=route.table_name, rows=rows, **counts)
     if loaded:

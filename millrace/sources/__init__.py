@@ -1,6 +1,7 @@
 from millrace.sources.delimited import (
     MULTILINE,
     Landed,
+    guess_csv_table,
     header_groups,
     infer_csv_schema,
     land_csv,
@@ -12,6 +13,7 @@ from millrace.sources.listing import list_files
 __all__ = [
     "MULTILINE",
     "Landed",
+    "guess_csv_table",
     "header_groups",
     "infer_csv_schema",
     "land_csv",

@@ -8,14 +8,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DateType, StringType, StructField, StructType
 
-from millrace.observed import observed
 from millrace.operators.rules import quoted
 from millrace.session import new_folder
-from millrace.sources.cell_types import cast_cell, cell_kind, common_type
 from millrace.sources.paths import first_line, literals, part_files
 
 # Reader options for fields with line breaks and doubled quotes. Such a file
@@ -26,11 +24,8 @@ MULTILINE = {"multiLine": "true", "escape": '"'}
 
 # With these a line of the file is not a line of plain text.
 _NEEDS_FILES = {"multiline", "linesep", "encoding", "charset"}
-# With these, or a setting for old parsers, what a cell stands for is Spark's to say.
-_PARSES_TYPES = {
-    "dateformat", "timestampformat", "timestampntzformat", "locale", "preferdate", "nanvalue",
-    "positiveinf", "negativeinf", "samplingratio", "enabledatetimeparsingfallback", "nullvalue", "emptyvalue",
-}
+# These say how lines are written, not what cells stand for.
+_SHAPE_LINES = _NEEDS_FILES | {"sep", "delimiter", "quote", "escape", "comment", "mode"}
 _LEAST_LONG = -(2**63)
 
 
@@ -51,8 +46,7 @@ def _parsed(
         # Options such as a limit on the time of change choose files here too.
         lines = spark.read.options(**(options or {})).text(path).select("value")
         try:
-            as_strings = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-            return DataFrame(reader._jreader.csv(as_strings), spark)
+            return DataFrame(reader._jreader.csv(_as_lines(spark, lines)), spark)
         except AttributeError:
             pass
     return reader.csv(path)
@@ -85,58 +79,106 @@ def _named_as_in_header(
     return first is not None and list(first) == names
 
 
-def _parses_types(spark: SparkSession, options: Mapping[str, str] | None) -> bool:
-    return bool(
-        _PARSES_TYPES & {name.lower() for name in options or {}}
-        or spark.conf.get("spark.sql.timestampType", "TIMESTAMP_LTZ") != "TIMESTAMP_LTZ"
-        or spark.conf.get("spark.sql.legacy.timeParserPolicy", "CORRECTED") == "LEGACY"
-    )
-
-
-def _header(
-    spark: SparkSession, path: str | list[str], options: Mapping[str, str] | None
-) -> tuple[list[str], bool]:
-    """Column names as Spark gives them, and whether the header has these.
-
-    One job takes the first line of the files; what Spark makes of it needs none.
-    """
-    names = {name.lower(): value for name, value in (options or {}).items()}
-    if not _NEEDS_FILES & set(names):
-        lines = spark.read.options(**(options or {})).text(literals(path)).filter("trim(value) != ''")
-        if names.get("comment"):
-            lines = lines.filter(~F.startswith("value", F.lit(names["comment"])))
-        try:
-            line = lines.select("value").first()
-            if not line:
-                raise ValueError(f"no header line in {path}")
-            return _names_in(spark, line[0], options)
-        except AttributeError:
-            pass
-    schema = infer_csv_schema(spark, path, options, all_text=True)
-    return schema.names, _named_as_in_header(spark, path, schema.names, options)
-
-
 def _names_in(
     spark: SparkSession, line: str, options: Mapping[str, str] | None
 ) -> tuple[list[str], bool]:
-    given = {name.lower(): value for name, value in (options or {}).items()}
-    sep = given.get("sep", given.get("delimiter", ","))
-    if set(given) <= {"sep", "delimiter", "comment", "mode"} and '"' not in line and "\\" not in sep + line:
-        names = line.split(sep)
-        if all(names) and len({name.lower() for name in names}) == len(names):
-            return names, True
-    # What Spark makes of quotes, and which names it gives to columns without one.
-    one = spark.createDataFrame(pa.table({"value": [line]}))
-    as_strings = getattr(one._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    """Column names that Spark takes from a header line, and whether they stand there."""
+    one = _as_lines(spark, spark.createDataFrame(pa.table({"value": [line]})))
 
     def parsed(header: str) -> DataFrame:
         reader = spark.read.options(**(options or {})).options(header=header, inferSchema="false")
-        return DataFrame(reader._jreader.csv(as_strings), spark)
+        return DataFrame(reader._jreader.csv(one), spark)
 
     names, written = parsed("true").columns, parsed("false").first()
     return names, written is not None and list(written) == names
 
 
+def _as_lines(spark: SparkSession, lines: DataFrame):
+    """For the JVM's reader; Python's takes no DataFrame of lines."""
+    return getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
+def _fields(schema: StructType, given: Mapping[str, str]) -> list[StructField]:
+    """The columns, with the types that are given by name in any case."""
+    return [
+        StructField(f.name, DataType.fromDDL(given[f.name.lower()])) if f.name.lower() in given else f
+        for f in schema.fields
+    ]
+
+
+def _given(text_columns: Collection[str], types: Mapping[str, str] | None) -> dict[str, str]:
+    given = {name.lower(): "string" for name in text_columns}
+    return given | {name.lower(): kind for name, kind in (types or {}).items()}
+
+
+# Lines from which types are guessed.
+SAMPLE_LINES = 1000
+
+# What Spark says of a row that does not fit its types, and what a guess says.
+MISFITS = ("MALFORMED_RECORD_IN_PARSING", "does not fit its guessed type")
+
+
+def guess_csv_table(
+    spark: SparkSession,
+    path: str | list[str],
+    text_columns: Collection[str] = (),
+    types: Mapping[str, str] | None = None,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame | None:
+    """The files with types that their first lines fit, for a job that can be repeated.
+
+    One scan then shows whether the guess holds: a line or cell of any row that
+    does not fit ends the job with one of ``MISFITS``, and the types have to be
+    inferred from all rows. If the job ends well its types are those that
+    inference finds: the least for the first lines, and all others fit them. None
+    where options say otherwise what a line is or what becomes of bad ones.
+    """
+    if {name.lower() for name in options or {}} & (_NEEDS_FILES | {"mode", "columnnameofcorruptrecord"}):
+        return None
+
+    def reader(**more: str):
+        return spark.read.options(**(options or {})).options(**more)
+
+    # Taken from the first task's lines if it has as many.
+    first = reader().text(literals(path)).select("value").take(SAMPLE_LINES)
+    first = pa.table({"value": pa.array([row.value for row in first], pa.string())})
+    try:
+        lines = _as_lines(spark, spark.createDataFrame(first).coalesce(1))
+    except AttributeError:
+        return None
+    schema = DataFrame(reader(header="true", inferSchema="true")._jreader.csv(lines), spark).schema
+    if not schema.fields:
+        raise ValueError(f"no header line in {path}")
+    rows = DataFrame(reader(header="false", inferSchema="false")._jreader.csv(lines), spark).collect()
+    checked = list(rows[0]) == schema.names
+    filled = [any(row[i] for row in rows[1:]) for i in range(len(schema))]
+
+    given = _given(text_columns, types)
+    fields, columns = [], []
+    for field, seen in zip(_fields(schema, given), filled, strict=True):
+        cell = F.col(quoted(field.name))
+        known = field.name.lower() in given
+        if not known and isinstance(field.dataType, DateType):
+            # The reader would take a timestamp for a date.
+            day = cell.try_cast("date")
+            cell = _or_misfit(cell, day.cast("string") == cell, day, field.name)
+            field = StructField(field.name, StringType())
+        elif not known and not seen:
+            # Any type would do so far.
+            cell = _or_misfit(cell, cell == "", cell, field.name)
+        fields.append(field)
+        columns.append(cell.alias(field.name))
+    read = _scan(spark, path, fields, None, {**(options or {}), "mode": "FAILFAST"}, checked)
+    # What is counted here is not needed, but no filter goes past it: rows that a
+    # rule drops have to fit as well.
+    return read.select(columns).observe(Observation(), F.count(F.lit(1)).alias("rows"))
+
+
+def _or_misfit(cell: Column, fits: Column, value: Column, name: str) -> Column:
+    misfit = F.raise_error(F.lit(f"a cell of {name} {MISFITS[1]}"))
+    return F.when(cell.isNull(), F.lit(None)).when(fits, value).otherwise(misfit)
+
+
 # Files whose first line is read side by side.
 HEADERS_AT_ONCE = 32
 
@@ -175,32 +217,38 @@ def header_groups(
     return groups
 
 
+def _infer_by_name(
+    spark: SparkSession,
+    groups: Mapping[tuple[str, ...], list[str]],
+    options: Mapping[str, str] | None,
+    all_text: bool,
+) -> StructType:
+    """The types that the rows of all groups fit; their lines are written alike for it."""
+    names = list(next(iter(groups)))
+    texts = [StructField(name, StringType()) for name in names]
+    if all_text:
+        return StructType(texts)
+    cells = _by_name(spark, groups, texts, None, options)
+    lines = cells.select(F.to_csv(F.struct(*map(quoted, names))).alias("value"))
+    kept = {k: v for k, v in (options or {}).items() if k.lower() not in _SHAPE_LINES}
+    reader = spark.read.options(**kept).options(header="false", inferSchema="true")
+    found = DataFrame(reader._jreader.csv(_as_lines(spark, lines)), spark).schema
+    return StructType([StructField(name, f.dataType) for name, f in zip(names, found, strict=True)])
+
+
 @dataclass(frozen=True)
 class Landed:
-    """Rows of CSV files that one scan has written as columns.
+    """Lines of CSV files that one scan has dealt into two tables.
 
-    ``rows`` have their types, ``bad_lines`` (``raw_line``) are those that do not
-    parse, if they were asked for; both read from ``folder``, which is scratch.
+    ``rows`` parse; ``bad_lines`` (``raw_line``) do not. Both read from
+    ``folder``, which is scratch.
     """
 
     rows: DataFrame
-    bad_lines: DataFrame | None
+    bad_lines: DataFrame
     folder: str
 
 
-def _fields(schema: StructType, given: Mapping[str, str]) -> list[StructField]:
-    """The columns, with the types that are given by name in any case."""
-    return [
-        StructField(f.name, DataType.fromDDL(given[f.name.lower()])) if f.name.lower() in given else f
-        for f in schema.fields
-    ]
-
-
-def _given(text_columns: Collection[str], types: Mapping[str, str] | None) -> dict[str, str]:
-    given = {name.lower(): "string" for name in text_columns}
-    return given | {name.lower(): kind for name, kind in (types or {}).items()}
-
-
 def land_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -208,82 +256,53 @@ def land_csv(
     text_columns: Collection[str] = (),
     types: Mapping[str, str] | None = None,
     options: Mapping[str, str] | None = None,
-    bad_lines: bool = False,
-    corrupt_column: str | None = None,
     infer: bool = True,
     by_name: bool = False,
 ) -> Landed:
-    """Scan the files once and write their cells as columns to the shared folder.
+    """Scan the files once and write rows and bad lines to folders of their own.
 
-    Which types the cells of each column fit is found in the same job, where they
-    are still text; the rows that come back cast them. With ``bad_lines``
-    lines that are too short, too long or have unreadable cells go to a folder
-    of their own and are no rows; types are then those of the others.
+    A line is bad if it is too short, too long or has unreadable cells. Without
+    ``schema`` the types are inferred before, from bad lines too.
     """
-    raw = "raw_line" if bad_lines else corrupt_column
-    groups = header_groups(spark, path, options) if by_name else None
-    given = _given(text_columns, types)
-    fields, open_columns, checked = [], [], True
-    if schema is not None:
-        fields = list((StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields)
-    else:
-        names, checked = (next(iter(groups)), True) if groups else _header(spark, path, options)
-        columns = StructType([StructField(name, StringType()) for name in names])
-        if infer and not _parses_types(spark, options):
-            open_columns = [i for i, f in enumerate(columns) if f.name.lower() not in given]
-        elif infer:
-            if groups:
-                raise ValueError("columns by name need a schema where options say how cells are read")
-            columns = infer_csv_schema(spark, path, options)
-        fields = _fields(columns, given)
-    if bad_lines:
-        while raw.lower() in {f.name.lower() for f in fields}:
-            raw += "_"
-    read = (
-        _by_name(spark, groups, fields, raw, options)
-        if groups
-        else _reader(spark, path, fields, raw, options, checked)
-    )
-
+    raw = "raw_line"
+    fields, checked, groups = _columns(spark, path, schema, text_columns, types, options, infer, by_name)
+    while raw.lower() in {f.name.lower() for f in fields}:
+        raw += "_"
+    read = _by_name(spark, groups, fields, raw, options) if groups else _scan(spark, path, fields, raw, options, checked)
     # Names of one's own: a file may have any.
+    line = F.col(quoted(raw))
     cells = [F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]
-    if raw:
-        cells += [F.col(quoted(raw)).alias("raw_line"), F.col(quoted(raw)).isNotNull().alias("bad")]
-    written = read.select(cells)
-    fits = [F.col(f"c{i}") for i in open_columns]
-    if bad_lines:
-        fits = [F.when(F.col("raw_line").isNull(), cell) for cell in fits]
-    kinds = [F.bit_or(cell_kind(cell)).alias(f"k{i}") for i, cell in zip(open_columns, fits, strict=True)]
-    seen = Observation()
+    dealt = read.select(*cells, line.alias("raw_line"), line.isNotNull().alias("bad"))
     folder = new_folder(spark, "landed")
-    writer = (written.observe(seen, *kinds) if kinds else written).write
-    (writer.partitionBy("bad") if bad_lines else writer).parquet(folder)
-
-    stored = spark.read.schema(written.schema).parquet(folder)
-    if schema is not None and not groups and not stored.take(1):
+    dealt.write.partitionBy("bad").parquet(folder)
+    stored = spark.read.schema(dealt.schema).parquet(folder)
+    if not groups and not stored.take(1):
         _need_header(spark, path)
-    found = {}
-    if kinds:
-        # The columns still have the answer if Spark's event has been lost.
-        found = observed(seen) or stored.agg(*kinds).first().asDict()
-    kind_of = {i: common_type(found[f"k{i}"] or 0) for i in open_columns}
-    columns = [
-        cast_cell(F.col(f"c{i}"), kind_of.get(i, f.dataType)).alias(f.name)
-        if i in kind_of
-        else F.col(f"c{i}").alias(f.name)
-        for i, f in enumerate(fields)
-    ]
-    if bad_lines:
-        good = stored.filter("NOT bad").select(columns)
-        return Landed(good, stored.filter("bad").select("raw_line"), folder)
-    if raw:
-        columns.append(F.col("raw_line").alias(raw))
-    return Landed(stored.select(columns), None, folder)
+    rows = stored.filter("NOT bad").select([F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)])
+    return Landed(rows, stored.filter("bad").select("raw_line"), folder)
 
 
-def _need_header(spark: SparkSession, path: str | list[str]) -> None:
-    if not spark.read.text(literals(path)).filter("trim(value) != ''").take(1):
-        raise ValueError(f"no header line in {path}")
+def _columns(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str | None,
+    text_columns: Collection[str],
+    types: Mapping[str, str] | None,
+    options: Mapping[str, str] | None,
+    infer: bool,
+    by_name: bool,
+) -> tuple[list[StructField], bool, dict[tuple[str, ...], list[str]] | None]:
+    """Columns, whether headers are to be checked against them, and files by header."""
+    groups = header_groups(spark, path, options) if by_name else None
+    if schema is not None:
+        declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return _fields(declared, _given(text_columns, types)), True, groups
+    if groups:
+        found, checked = _infer_by_name(spark, groups, options, all_text=not infer), True
+    else:
+        found = infer_csv_schema(spark, path, options, all_text=not infer)
+        checked = _named_as_in_header(spark, path, found.names, options)
+    return _fields(found, _given(text_columns, types)), checked, groups
 
 
 def _by_name(
@@ -295,17 +314,17 @@ def _by_name(
 ) -> DataFrame:
     """The files of each header read by it, with the columns in the order of ``fields``."""
     wanted = {f.name: f for f in fields}
+    extra = [corrupt_column] if corrupt_column else []
     parts = []
     for names, files in groups.items():
         if set(names) != set(wanted):
             raise ValueError(f"{files[0]} has columns {sorted(names)} instead of {sorted(wanted)}")
-        part = _reader(spark, files, [wanted[name] for name in names], corrupt_column, options, True)
-        extra = [corrupt_column] if corrupt_column else []
+        part = _scan(spark, files, [wanted[name] for name in names], corrupt_column, options, True)
         parts.append(part.select([quoted(name) for name in [*wanted, *extra]]))
     return reduce(DataFrame.union, parts)
 
 
-def _reader(
+def _scan(
     spark: SparkSession,
     path: str | list[str],
     fields: list[StructField],
@@ -320,6 +339,11 @@ def _reader(
     return reader.schema(StructType(fields)).csv(literals(path), header=True, enforceSchema=not checked)
 
 
+def _need_header(spark: SparkSession, path: str | list[str]) -> None:
+    if not spark.read.text(literals(path)).filter("trim(value) != ''").take(1):
+        raise ValueError(f"no header line in {path}")
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str | list[str],
@@ -333,40 +357,27 @@ def read_csv_table(
 ) -> DataFrame:
     """Read a file, a folder of part files, or a list of either.
 
-    The files are scanned once, unless an option says how cells of some type are
-    written. Without ``schema`` the types are inferred: the call writes the cells
-    as columns to the shared folder (:func:`land_csv`), and the result reads
-    those. ``text_columns`` keep
-    their text whatever it looks like, and ``types`` gives
+    Without ``schema`` the types are inferred, which reads the input twice;
+    ``text_columns`` keep their text whatever it looks like, and ``types`` gives
     single columns a type (names are compared as Spark does, in any case). With
     ``infer=False`` columns without a type are text; then, and with ``schema``
-    (a ``StructType`` or DDL text), nothing is written. Either way
+    (a ``StructType`` or DDL text), the input is read once. Either way
     a part file whose header differs is an error, unless names are repeated or
-    empty and no schema is given.
-
-    With ``by_name`` part files may have their columns in any order, as long as
-    each has them all (:func:`header_groups`); this also goes by the shared folder.
+    empty and no schema is given. With ``by_name`` part files may have their
+    columns in any order, as long as each has them all (:func:`header_groups`).
 
     ``corrupt_column`` adds the raw line of every row that is too short, too
     long or has unreadable cells, and NULL for the rest, whichever columns are
     selected later. For that every column is parsed whenever it is used.
     """
-    declared = schema is not None
-    if by_name or not declared and infer and not _parses_types(spark, options):
-        return land_csv(
-            spark, path, schema, text_columns, types, options,
-            corrupt_column=corrupt_column, infer=infer, by_name=by_name,
-        ).rows
-    if not declared:
-        schema = infer_csv_schema(spark, path, options, all_text=not infer)
-    elif isinstance(schema, str):
-        schema = StructType.fromDDL(schema)
-    fields = _fields(schema, _given(text_columns, types))
-    checked = declared or _named_as_in_header(spark, path, schema.names, options)
-    df = _reader(spark, path, fields, corrupt_column, options, checked)
+    fields, checked, groups = _columns(spark, path, schema, text_columns, types, options, infer, by_name)
+    if groups:
+        df = _by_name(spark, groups, fields, corrupt_column, options)
+    else:
+        df = _scan(spark, path, fields, corrupt_column, options, checked)
     # The first row shows a wrong header before a load replaces anything. Only
     # if there is none does the header have to be looked for.
-    if declared and not df.take(1):
+    if schema is not None and not groups and not df.take(1):
         _need_header(spark, path)
     if corrupt_column and fields:
         # A scan flags what it notices in the columns it reads. The comparison

@@ -27,7 +27,7 @@ from millrace.plans import (
 )
 from millrace.session import scratch_dir
 from millrace.sinks import Release, current_releases, overwrite_parquet, publish_view
-from millrace.sources import read_csv_table
+from millrace.sources import land_csv
 
 
 def values(df):
@@ -308,12 +308,12 @@ def test_a_load_leaves_no_scratch(spark, csv_file, clean):
     def landed():
         return [name for name in os.listdir(scratch_dir(spark).removeprefix("file:")) if "landed" in name]
 
-    read_csv_table(spark, csv_file("first.csv", "a", "1"))
+    land_csv(spark, csv_file("first.csv", "a", "1"))
     before = landed()
     assert before
     load_file(spark, csv_file("a.csv", "a", "1"), clean, bad_lines="_bad")
     with pytest.raises(Exception, match="no_price"):
-        load_file(spark, csv_file(f"{ITEMS}.csv", "no_price", "1"), clean)
+        load_file(spark, csv_file(f"{ITEMS}.csv", "no_price", "1"), clean, bad_lines="_bad")
     assert landed() == before
 
 
@@ -428,3 +428,58 @@ def test_releases_are_in_order_whatever_the_clock_says(spark, tables, monkeypatc
     monkeypatch.setattr("millrace.sinks.release.time.time_ns", lambda: 5)
     tables({"a": ["v", "2", "3"]})
     assert values(tables.read("a")) == [(2,), (3,)]
+
+
+# --- Types without a pass of their own -------------------------------------
+
+
+def tasks_of(spark, work):
+    """Tasks of each stage that ``work`` has run."""
+    group = work.__name__
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in sorted(tracker.getJobIdsForGroup(group))]
+    return [tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+
+
+def test_a_default_load_scans_its_input_once(spark, csv_file, clean):
+    for part in "abc":
+        path = csv_file(f"lookup.csv/{part}.csv", "k,v,n", *[f"{part},2017-10-02,"] * 10)
+    path = path.rsplit("/", 1)[0]
+
+    def load():
+        assert load_file(spark, path, clean).rows == 30
+
+    tasks = tasks_of(spark, load)
+    # Apart from jobs on the first lines, one that reads the three files.
+    assert [n for n in tasks if n > 2] == [3] and len(tasks) < 8
+    assert clean.read("lookup.csv_data").dtypes == [("k", "string"), ("v", "date"), ("n", "string")]
+
+
+@pytest.mark.parametrize("sink_kind", ["parquet", "view"])
+def test_a_wrong_guess_is_made_good(spark, csv_file, tmp_path, clean, monkeypatch, sink_kind):
+    monkeypatch.setattr("millrace.sources.delimited.SAMPLE_LINES", 3)
+    unique = tmp_path.name.replace("-", "_")
+    sink = clean if sink_kind == "parquet" else publish_view(str(tmp_path / "views"))
+    lines = ["n,d,e", "1,2017-10-02,", "2,2017-10-03,", "3,2017-10-04 10:00:00,", "4.5,2017-10-05,x", "5,,,9", "6"]
+    done = load_file(spark, csv_file(f"{NAME_PREFIX}{unique}{NAME_SUFFIX}", *lines), sink)
+    table = clean.read(done.table_name) if sink_kind == "parquet" else spark.table(done.table_name)
+    assert done.rows == 6
+    assert table.dtypes == [("n", "double"), ("d", "timestamp"), ("e", "string")]
+    assert [r.n for r in table.orderBy("n").collect()] == [1.0, 2.0, 3.0, 4.5, 5.0, 6.0]
+
+
+def test_other_errors_are_not_taken_for_a_wrong_guess(spark, csv_file):
+    calls = []
+
+    def sink(df, table):
+        calls.append(table)
+        raise OSError("no space")
+
+    with pytest.raises(OSError, match="no space"):
+        load_file(spark, csv_file("a.csv", "a", "1"), sink)
+    assert calls == ["a.csv_data"]
