@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import order_hash, remainder, stored, table
+from millrace.llm.common import drawn, remainder, stored, table
 from millrace.llm.textstats import text_stats
 
 # Rows that training may use of each kind, drawn by hash.
@@ -176,11 +176,11 @@ def train(
     max_unlabelled: int = MAX_UNLABELLED,
 ) -> Network:
     """Fit to ``(doc_id, features)`` and the positives in ``(doc_id, quality)``."""
-    drawn = lambda rows, n: rows.orderBy(order_hash(F.col("doc_id")), "features").limit(n)
+    keys = F.col("doc_id"), F.col("features").cast("string")
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
     positives = featured.join(trusted, "doc_id", "left_semi")
     return fit(
-        _points(drawn(positives, max_positives)), _points(drawn(featured, max_unlabelled))
+        _points(drawn(positives, max_positives, *keys)), _points(drawn(featured, max_unlabelled, *keys))
     )
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import order_hash, stored, table
+from millrace.llm.common import drawn, stored, table
 from millrace.llm.textstats import text_stats
 
 STATS = (
@@ -31,6 +31,8 @@ MAX_FIT = 20_000
 CONTAMINATION = 0.01
 TREES = 128
 SUBSAMPLE = 1024
+# Repeated lines are usual up to what this share of clean documents stays below.
+USUAL_SHARE = 0.999
 # A clean document lost counts as so many bad ones kept.
 CLEAN_WEIGHT = 10.0
 SCORE_BINS = 1000
@@ -56,12 +58,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def features(rows) -> np.ndarray:
+def features(rows, usual: float = 0.0) -> np.ndarray:
     """Shares, so that a long document is not odd for its length.
 
     Split points are drawn evenly over a feature's range, so the long tail of
-    symbols is pulled in, and repeats that clean texts have too are drawn
-    together: below 30 % repeated lines say nothing.
+    symbols is pulled in, and repeated lines up to a share ``usual`` that clean
+    texts have too are drawn together.
     """
     words = np.maximum(np.asarray(rows["n_words"], dtype=float), 1)
     lines = np.maximum(np.asarray(rows["n_lines"], dtype=float), 1)
@@ -70,7 +72,7 @@ def features(rows) -> np.ndarray:
         [
             share("word_chars", words),
             np.log1p(20 * share("n_symbols", words)),
-            np.maximum(share("n_dup_lines", lines) - 0.3, 0),
+            np.maximum(share("n_dup_lines", lines) - usual, 0),
             share("n_repeat_words", words) ** 2,
         ],
         axis=1,
@@ -87,9 +89,12 @@ def expected_path(size: int) -> float:
 class IsolationForest:
     """Trees as arrays: node i has the children 2i + 1 and 2i + 2."""
 
-    def __init__(self, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed=7):
+    def __init__(
+        self, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed=7, usual: float = 0.0
+    ):
         random = np.random.default_rng(seed)
         size = min(subsample, len(points))
+        self.usual, self.votes = usual, size > 1
         self.depth = max(1, math.ceil(math.log2(max(size, 2))))
         self.scale = expected_path(size) or 1.0
         nodes = 2 ** (self.depth + 1) - 1
@@ -116,7 +121,10 @@ class IsolationForest:
         self._grow(tree, 2 * node + 2, depth + 1, points[right], random)
 
     def score(self, points: np.ndarray) -> np.ndarray:
-        """0 to 1; one half is ordinary, near 1 is soon alone."""
+        """0 to 1; one half is ordinary, near 1 is soon alone. A forest of fewer
+        than two points has nothing to compare with: all are ordinary."""
+        if not self.votes:
+            return np.full(len(points), 0.5)
         total, rows = np.zeros(len(points)), np.arange(len(points))
         for feature, split, path in zip(self.feature, self.split, self.path, strict=True):
             node = np.zeros(len(points), dtype=int)
@@ -133,17 +141,21 @@ def fit(
 ) -> IsolationForest:
     """A forest for ``(doc_id, STATS..., quality)``.
 
-    Up to ``max_fit`` clean rows, drawn by hash, and few enough bad ones.
+    Up to ``max_fit`` clean rows, drawn by hash, and few enough bad ones. What
+    share of repeated lines is usual is said by all clean rows.
     """
+    repeated = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    clean_rows = labelled.filter("quality = 1")
+    usual = clean_rows.agg(F.percentile_approx(repeated, USUAL_SHARE, 10_000)).first()[0] or 0.0
 
-    def drawn(quality: str, n: int) -> np.ndarray:
-        rows = labelled.filter(quality).orderBy(order_hash(F.col("doc_id")), *STATS).limit(n)
-        return features(rows.select(*STATS).toPandas())
+    def points(rows: DataFrame, n: int) -> np.ndarray:
+        some = drawn(rows, n, F.col("doc_id"), *map(F.col, STATS))
+        return features(some.select(*STATS).toPandas(), usual)
 
-    clean = drawn("quality = 1", max_fit)
-    bad = drawn("quality != 1", math.ceil(contamination * max_fit))
+    clean = points(clean_rows, max_fit)
+    bad = points(labelled.filter("quality != 1"), math.ceil(contamination * max_fit))
     few = math.ceil(contamination * len(clean)) if len(clean) else len(bad)
-    return IsolationForest(np.concatenate([clean, bad[:few]]))
+    return IsolationForest(np.concatenate([clean, bad[:few]]), usual=usual)
 
 
 def with_score(stats: DataFrame, forest: IsolationForest) -> DataFrame:
@@ -153,18 +165,18 @@ def with_score(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     def score(batches):
         for batch in batches:
             rows = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in STATS}
-            scores = pa.array(forest.score(features(rows)))
+            scores = pa.array(forest.score(features(rows, forest.usual)))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
     return stats.mapInArrow(score, schema + ", score double")
 
 
-def threshold(scored: DataFrame, clean_weight: float = CLEAN_WEIGHT) -> float:
+def threshold(scored: DataFrame, clean_weight: float = CLEAN_WEIGHT) -> float | None:
     """The score above which to drop, from ``(score, quality)`` of all labelled rows.
 
     A histogram of the scores by label is all that the choice needs. Without
-    bad rows, or without clean ones, nothing is dropped.
+    bad rows, or without clean ones, there is none.
     """
     bins = (
         scored.filter("quality IS NOT NULL")
@@ -176,7 +188,7 @@ def threshold(scored: DataFrame, clean_weight: float = CLEAN_WEIGHT) -> float:
     for row in bins:
         (clean if row.quality == 1 else bad)[row.bin] += row.n
     if not bad.sum() or not clean.sum():
-        return 1.0
+        return None
     # Losses if everything from a bin on is dropped.
     lost = np.cumsum(clean[::-1])[::-1] / clean.sum()
     kept = 1 - np.cumsum(bad[::-1])[::-1] / bad.sum()
@@ -191,14 +203,16 @@ def apply_rules(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> D
     above the calibrated threshold. NULL and empty texts have no words and
     fail. A label of a missing document, or a NULL label, is not used; a
     document labelled twice counts twice in the calibration. Without labels
-    the base rules alone decide. Other columns are not read.
+    of both kinds the base rules alone decide. Other columns are not read.
     """
     stats = stored(rule_stats(docs).withColumn("base_failed", base_failed()), "rule-stats")
     quality = labels.select("doc_id", "quality").filter("quality IS NOT NULL")
     labelled = stats.filter("NOT base_failed").join(quality, "doc_id")
     forest = fit(labelled, max_fit)
     at = threshold(with_score(labelled.select(*STATS, "quality"), forest))
-    kept = ~F.col("base_failed") & (F.floor(F.col("score") * SCORE_BINS) / SCORE_BINS < F.lit(at))
+    kept = ~F.col("base_failed")
+    if at is not None:
+        kept &= F.floor(F.col("score") * SCORE_BINS) / SCORE_BINS < F.lit(at)
     return with_score(stats, forest).withColumn("kept", kept)
 
 

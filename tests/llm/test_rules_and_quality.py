@@ -1,8 +1,14 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-import zlib
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import quality_classifier, quality_rules, urls
+from millrace.llm.common import drawn, order_hash
 from millrace.llm.textstats import repeated_words, text_stats
 
 SF = "/root/testdata/sf0.01"
@@ -41,6 +47,47 @@ def test_op1_agrees_with_the_labels(spark):
         assert bool(result.base_failed[doc_id]) == failed
 
 
+def plain_stats(text):
+    words = re.findall(r"[^ \t\n\v\f\r]+", text)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeats = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    lines = [line for line in text.split("\n") if re.search(r"[^ \t\n\v\f\r]", line)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        len(repeats),
+    )
+
+
+def test_base_columns_of_op1(spark):
+    texts = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    for r in quality_rules.op1_quality_rules(spark, SF).collect():
+        found = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert found == plain_stats(texts[r.doc_id] or "")
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.kept and r.base_failed)
+
+
+@pytest.mark.parametrize("given", ["quality IS NULL", "doc_id = 0", "quality = 1", "quality = 0"])
+def test_without_labels_of_both_kinds_the_base_rules_decide(spark, given):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter(given)
+    rows = quality_rules.apply_rules(docs, labels).collect()
+    assert all(r.kept == (not r.base_failed) for r in rows)
+    assert sum(r.kept for r in rows) > 100
+
+
+def test_a_draw_is_of_the_size_asked_for(spark):
+    rows = spark.range(20_000)
+    some = [r.id for r in drawn(rows, 500, F.col("id")).collect()]
+    assert len(some) == len(set(some)) == 500
+    assert some == [r.id for r in rows.orderBy(order_hash(F.col("id"))).limit(500).collect()]
+    assert drawn(rows, 30_000, F.col("id")).count() == 20_000
+    assert drawn(rows.limit(0), 5, F.col("id")).count() == 0
+
+
 def test_rules_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, None), (99, 1)], "doc_id bigint, quality int")
     rows = quality_rules.apply_rules(odd, labels).collect()
@@ -59,7 +106,7 @@ def test_op9_on_held_out_labels(spark):
     labels = pd.read_parquet(f"{SF}/labels.parquet").set_index("doc_id")
     joined = result[result.held_out].join(labels, how="inner")
     assert joined[joined.quality == 1].predicted.mean() > 0.97
-    assert joined[joined.quality == 0].predicted.mean() < 0.4
+    assert joined[joined.quality == 0].predicted.mean() < 0.25
 
 
 def test_the_prior_is_close_to_the_share():
