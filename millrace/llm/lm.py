@@ -39,10 +39,15 @@ HEAD_CHARS = 64
 SHARED = 16
 SIZE = 16
 CONTEXT = 2
-NOISE = 64
-BATCH = 4096
-EPOCHS = 2
+NOISE = 32
+BATCH = 512
+EPOCHS = 1
 RATE = 0.1
+# Training starts from the last average so often, with about so many tokens a task.
+ROUNDS = 2
+TASK_TOKENS = 5_000_000
+SEED = 4
+LEAST_SQUARE = 1e-6
 # Tokens handled at a time, different words counted before they are sent.
 CHUNK_TOKENS = 150_000
 MAX_COUNTED = 300_000
@@ -116,11 +121,32 @@ class Head:
         return np.append(own, [self.vocabulary + crc32(w) % shared for w in rest]).astype(np.int64)
 
 
+def _least_count(counts: DataFrame, head: int) -> int:
+    """A count that ``head`` words and not many more reach, or 0.
+
+    From the numbers of words by powers of 2 to the eighth, so that it is no task's
+    work to find the most frequent words among all of its own.
+    """
+    step = F.floor(F.log2("n") * 8)
+    bins = (
+        counts.filter(F.octet_length("word") <= HEAD_CHARS)
+        .groupBy(step.alias("step"))
+        .agg(F.count("*").alias("words"), F.min("n").alias("least"))
+        .collect()
+    )
+    words = 0
+    for row in sorted(bins, key=lambda row: -row.step):
+        words += row.words
+        if words >= head:
+            return row.least
+    return 0
+
+
 def head_of(counts: DataFrame, vocabulary: int = HEAD, head: int = HEAD) -> Head:
     """``counts`` has ``word, n``. A longer word is looked up like a rare one."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
     rows = (
-        counts.filter(F.octet_length("word") <= HEAD_CHARS)
+        counts.filter((F.octet_length("word") <= HEAD_CHARS) & (F.col("n") >= _least_count(counts, head)))
         .orderBy(F.desc("n"), "word")
         .limit(head)
         .toArrow()
@@ -152,7 +178,7 @@ def head_of(counts: DataFrame, vocabulary: int = HEAD, head: int = HEAD) -> Head
 
 
 class Model:
-    """Entries of tokens, in blocks of equal size; as context there is one more,
+    """Entries of tokens, in blocks; as context there is one more,
     for what lies before the text.
 
     All parameters are rows of one table: blocks, entries, and entries as context
@@ -163,10 +189,16 @@ class Model:
         random = np.random.default_rng(seed)
         n = len(log_unigram)
         self.noise = log_unigram
-        self.block = ceil(sqrt(n))
-        self.blocks = -(-n // self.block)
-        firsts = np.arange(self.blocks) * self.block
-        self.block_noise = np.log(np.add.reduceat(np.exp(log_unigram), firsts))
+        # A case costs a product per block and per entry of its block: for the least
+        # sum a block has as many entries as 1 / sqrt(share of one of them).
+        share = np.exp(log_unigram)
+        _, first, self.block_of = np.unique(
+            np.floor(np.cumsum(np.sqrt(share))), return_index=True, return_inverse=True
+        )
+        self.blocks = len(first)
+        self.block_noise = np.log(np.add.reduceat(share, first))
+        # Rows of each block's entries begin here, and end with the next one's.
+        self.cuts = self.blocks + np.append(first, n)
         # The first row of contexts at each distance.
         self.at = self.blocks + n + np.arange(CONTEXT) * (n + 1)
         rows = self.blocks + n + CONTEXT * (n + 1)
@@ -203,7 +235,7 @@ class Model:
         """Equal cases are computed once."""
         codes, back = np.unique(self.coded(before, token), return_inverse=True)
         before, token = self.split(codes)
-        vector, block = self.predicted(before), token // self.block
+        vector, block = self.predicted(before), self.block_of[token]
         # Cases come sorted by context, so that of its first case serves all.
         context = codes // (self.start + 1)
         new = np.append(True, context[1:] != context[:-1])[: len(codes)]
@@ -212,9 +244,7 @@ class Model:
         cuts = np.searchsorted(block[order], np.arange(self.blocks + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             cases = order[cuts[b] : cuts[b + 1]]
-            first = self.blocks + b * self.block
-            last = min(first + self.block, self.blocks + self.start)
-            log_z[cases] += _log_sum(vector[cases], self.rows[first:last])
+            log_z[cases] += _log_sum(vector[cases], self.rows[self.cuts[b] : self.cuts[b + 1]])
         score = np.einsum("ij,ij->i", vector, self.rows[block] + self.rows[self.blocks + token])
         return (score - log_z).astype(float)[back]
 
@@ -222,20 +252,26 @@ class Model:
 def _log_sum(vector: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of the exponentials of each vector's products."""
     found = np.empty(len(vector), dtype=np.float32)
-    for i in range(0, len(vector), 2048):
-        scores = vector[i : i + 2048] @ rows.T
+    ones, step = np.ones(len(rows), dtype=np.float32), max(64, (1 << 18) // len(rows))
+    with np.errstate(over="ignore", divide="ignore"):
+        for i in range(0, len(vector), step):
+            scores = vector[i : i + step] @ rows.T
+            found[i : i + step] = np.log(np.exp(scores, out=scores) @ ones)
+    # Sums beyond what a float holds are shifted by the largest product.
+    odd = np.flatnonzero(~np.isfinite(found))
+    if len(odd):
+        scores = vector[odd] @ rows.T
         top = scores.max(axis=1)
-        scores -= top[:, None]
-        found[i : i + 2048] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+        found[odd] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
     return found
 
 
 class Trainer:
     """Noise-contrastive steps with a rate per parameter."""
 
-    def __init__(self, model: Model, seed: int = 4):
+    def __init__(self, model: Model, seed: int = SEED):
         self.model, self.random = model, np.random.default_rng(seed)
-        self.squares = np.full(model.rows.shape, 1e-6, dtype=np.float32)
+        self.squares = np.full(model.rows.shape, LEAST_SQUARE, dtype=np.float32)
         # How often each row of parameters was used.
         self.used = np.zeros(len(model.rows), dtype=np.float32)
         self.shares = [np.cumsum(np.exp(noise)) for noise in (model.block_noise, model.noise)]
@@ -258,7 +294,7 @@ class Trainer:
         vector = model.predicted(before)
         twice = np.concatenate([vector, vector])
         weight = weight / weight.sum()
-        true = np.concatenate([token // model.block, model.blocks + token])
+        true = np.concatenate([model.block_of[token], model.blocks + token])
         blocks, tokens = (
             np.searchsorted(c, self.random.random(NOISE) * c[-1], side="right").clip(max=len(c) - 1)
             for c in self.shares
@@ -352,60 +388,82 @@ def _entries(numbers: np.ndarray, of_head: np.ndarray, vocabulary: int) -> np.nd
     return np.where(numbers >= 0, known, vocabulary - 1 - numbers)
 
 
-def train(texts: DataFrame, head: Head) -> Model:
-    """The average of the models that the partitions of ``texts`` train.
+def train(texts: DataFrame, head: Head, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> Model:
+    """Models that tasks train on shares of ``texts``, averaged in each round.
 
-    A task sends the rows of parameters that it used, in parts, and how often it
-    used each; a row's average is weighed by that. Unused rows stay as they start.
+    A round takes the next share of the texts and starts from the last average.
+    A task gets about ``task_tokens`` tokens, however the texts are dealt to
+    files: few tokens would leave a model close to where it began. It sends the
+    rows of parameters that it used, in parts, and how often it used each; a
+    row's average is weighed by that. Unused rows stay as they were.
     """
     log_unigram = head.log_unigram()
-    held, shared = head, len(head.others)
+    tasks = max(1, ceil(head.train_tokens / rounds / task_tokens))
+    model, squares = Model(log_unigram), None
+    for number in range(rounds):
+        share = texts.filter(F.pmod(F.xxhash64(texts.columns[0]), F.lit(rounds)) == number)
+        found = _trained(share.coalesce(tasks), head, model if number else None, squares, number)
+        if squares is None:
+            squares = np.full(len(model.rows), LEAST_SQUARE, dtype=np.float32)
+        for part, rows in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            places, rows, square, _ = _received(rows)
+            model.rows[part * PART + places] = rows
+            squares[part * PART + places] = square
+    return model
+
+
+def _trained(
+    texts: DataFrame, head: Head, start: Model | None, squares: np.ndarray | None, number: int
+) -> pa.Table:
+    """Rows of parameters by part, averaged over the tasks that ``texts`` has."""
+    log_unigram, held, shared = head.log_unigram(), head, len(head.others)
+    rows_before = None if start is None else start.rows
 
     def learn(batches):
         ids, of_head = _Ids(held, shared), held.entries(shared)
-        trainer = Trainer(Model(log_unigram))
+        trainer = Trainer(Model(log_unigram), SEED + number)
+        if rows_before is not None:
+            trainer.model.rows[:] = rows_before
+            trainer.squares[:] = squares[:, None]
         for batch in batches:
             for tokens in _pieces(batch.column(0).to_pylist()):
                 numbers, ends = _numbered(tokens, ids)
                 entries = _entries(numbers, of_head, held.vocabulary)
                 trainer.learn(contexts(entries, ends, trainer.model.start), entries)
-        rows, used = trainer.model.rows, trainer.used
+        rows, used, square = trainer.model.rows, trainer.used, trainer.squares.mean(axis=1)
         for part, i in enumerate(range(0, len(rows), PART)):
-            if used[i : i + PART].any():
-                yield _sent(part, rows[i : i + PART], used[i : i + PART])
+            own = slice(i, i + PART)
+            if used[own].any():
+                yield _sent(part, rows[own], square[own], used[own])
 
     def add(batches):
         sums = {}
         for batch in batches:
-            for part, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places, rows, times = _received(rows)
+            for part, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places, rows, square, times = _received(sent)
                 if part not in sums:
-                    sums[part] = np.zeros((PART, rows.shape[1])), np.zeros(PART)
-                sums[part][0][places] += rows * times[:, None]
+                    sums[part] = np.zeros((PART, rows.shape[1] + 1)), np.zeros(PART)
+                sums[part][0][places] += np.column_stack([rows, square]) * times[:, None]
                 sums[part][1][places] += times
-        for part, (rows, times) in sums.items():
-            yield _sent(part, rows / np.maximum(times, 1)[:, None], times)
+        for part, (values, times) in sums.items():
+            values /= np.maximum(times, 1)[:, None]
+            yield _sent(part, values[:, :-1], values[:, -1], times)
 
     kind = "part int, rows binary"
-    average = texts.mapInArrow(learn, kind).repartition("part").mapInArrow(add, kind).toArrow()
-    model = Model(log_unigram)
-    for part, rows in zip(*(c.to_pylist() for c in average.columns), strict=True):
-        places, rows, _ = _received(rows)
-        model.rows[part * PART + places] = rows
-    return model
+    return texts.mapInArrow(learn, kind).repartition("part").mapInArrow(add, kind).toArrow()
 
 
-def _sent(part: int, rows: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
-    """The used rows of a part: place in it, values, times used."""
+def _sent(part: int, rows: np.ndarray, square: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
+    """The used rows of a part: place in it, values, mean square, times used."""
     places = np.flatnonzero(used)
-    values = np.column_stack([places, rows[places], used[places]]).astype(np.float32)
+    values = np.column_stack([places, rows[places], square[places], used[places]]).astype(np.float32)
     columns = [pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["part", "rows"])
 
 
-def _received(values: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.frombuffer(values, dtype=np.float32).reshape(-1, SIZE + 3)
-    return rows[:, 0].astype(np.int64), rows[:, 1:-1], rows[:, -1]
+def _received(values: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(values, dtype=np.float32).reshape(-1, SIZE + 4)
+    return rows[:, 0].astype(np.int64), rows[:, 1:-2], rows[:, -2], rows[:, -1]
 
 
 ROW = (
@@ -442,10 +500,11 @@ def _rows_scored(docs: DataFrame, head: Head, model: Model) -> DataFrame:
                 other = entries >= held.vocabulary
                 starts = np.concatenate([[0], ends[:-1]])
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                rare = [
-                    Counter([w for w, i in zip(words, numbers[a:b].tolist(), strict=True) if i < 0])
-                    for words, a, b in zip(tokens, starts.tolist(), ends.tolist(), strict=True)
-                ]
+                rare = [Counter() for _ in tokens]
+                outside = np.flatnonzero(numbers < 0)
+                text_of = np.searchsorted(ends, outside, side="right")
+                for k, i in zip(text_of.tolist(), (outside - starts[text_of]).tolist(), strict=True):
+                    rare[k][tokens[k][i]] += 1
                 columns = [
                     pa.array(ends - starts, pa.int64()),
                     pa.array(total((numbers >= 0).astype(np.int64)), pa.int64()),

@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import bpe, lm, mixing
+from millrace.llm.common import remainder
 
 SF = "/root/testdata/sf0.001"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABC  '0129.,!?#éßÜıİΣσς中文\u0301\x1c\x85\xa0\u200b\U0001f600\U0001d49c"
@@ -196,3 +198,19 @@ def test_pipeline_runs(spark, documents, library):
     for r in rows:
         assert r.n_tokens == len(r.ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    """Held-out gain over the unigrams, in nats a token, for one file and for many."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 4000")
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    gains = []
+    for partitions in (1, 16):
+        dealt = docs.repartition(partitions, "doc_id")
+        fitted = lm.fit(spark, dealt.filter(~held_out).select("text"))
+        sums = lm.score(dealt.filter(held_out), *fitted).agg(
+            F.sum(F.col("score") - F.col("base_score")).alias("gain"), F.sum("n_tokens").alias("n")
+        )
+        found = sums.first()
+        gains.append(found.gain / found.n * math.log(10))
+    assert min(gains) > 0.5 and max(gains) < 1.1 * min(gains)
