@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 from math import ceil, sqrt
 from zlib import crc32
 
@@ -39,7 +39,7 @@ HEAD_CHARS = 64
 SHARED = 16
 SIZE = 16
 CONTEXT = 2
-NOISE = 32
+NOISE = 24
 BATCH = 512
 EPOCHS = 1
 RATE = 0.1
@@ -210,6 +210,10 @@ class Model:
     def start(self) -> int:
         return len(self.noise)
 
+    @property
+    def width(self) -> int:
+        return self.rows.shape[1]
+
     def parameters(self) -> np.ndarray:
         return self.rows.ravel()
 
@@ -271,7 +275,10 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int = SEED):
         self.model, self.random = model, np.random.default_rng(seed)
-        self.squares = np.full(model.rows.shape, LEAST_SQUARE, dtype=np.float32)
+        # The model's rows and, beside each, the sums of its squared slopes.
+        self.table = np.full((len(model.rows), 2 * model.width), LEAST_SQUARE, dtype=np.float32)
+        self.table[:, : model.width] = model.rows
+        model.rows, self.squares = self.table[:, : model.width], self.table[:, model.width :]
         # How often each row of parameters was used.
         self.used = np.zeros(len(model.rows), dtype=np.float32)
         self.shares = [np.cumsum(np.exp(noise)) for noise in (model.block_noise, model.noise)]
@@ -291,8 +298,6 @@ class Trainer:
     def step(self, before: np.ndarray, token: np.ndarray, weight: np.ndarray) -> None:
         """One set of noise blocks and one of noise tokens serve the whole batch."""
         model, n = self.model, len(token)
-        vector = model.predicted(before)
-        twice = np.concatenate([vector, vector])
         weight = weight / weight.sum()
         true = np.concatenate([model.block_of[token], model.blocks + token])
         blocks, tokens = (
@@ -300,7 +305,21 @@ class Trainer:
             for c in self.shares
         )
         noise = np.concatenate([blocks, model.blocks + tokens])
-        true_rows, noise_rows = model.rows[true], model.rows[noise]
+        # The table is large: each of its rows is fetched and stored once a step.
+        at = np.concatenate([true, noise, *(model.at + before).T]).astype(np.int32)
+        order = np.argsort(at)
+        new = np.append(True, np.diff(at[order]) != 0)
+        first = np.flatnonzero(new)
+        used, place = at[order[first]], np.empty(len(at), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        table = self.table[used]
+        rows, squares = table[:, : model.width], table[:, model.width :]
+        near = np.ascontiguousarray(rows)
+
+        vector = sum(near[place[i : i + n]] for i in range(2 * n + len(noise), len(at), n))
+        vector[:, -1] = 1
+        twice = np.concatenate([vector, vector])
+        true_rows, noise_rows = near[place[: 2 * n]], near[place[2 * n : 2 * n + len(noise)]]
 
         off_true = _share(np.einsum("ij,ij->i", twice, true_rows) - self.expected[true]) - 1
         off_true *= np.concatenate([weight, weight])
@@ -311,23 +330,14 @@ class Trainer:
         true_rows *= off_true[:, None]
         d_vector = off_noise @ noise_rows + true_rows[:n] + true_rows[n:]
         d_vector[:, -1] = 0
-        at = [true, noise, *(model.at + before).T]
-        d = [d_true, off_noise.T @ vector, *[d_vector] * CONTEXT]
-        self.change(np.concatenate(at).astype(np.int32), np.concatenate(d))
-
-    def change(self, at: np.ndarray, d: np.ndarray) -> None:
-        """Only rows that a step uses are touched; those named repeatedly are added."""
-        order = np.argsort(at)
-        at = at[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        rows, d = at[first], np.add.reduceat(d[order], first, axis=0)
-        squares = self.squares[rows]
+        d = np.concatenate([d_true, off_noise.T @ vector, *[d_vector] * CONTEXT])
+        d = np.add.reduceat(d[order], first, axis=0)
         squares += d * d
-        self.squares[rows] = squares
         d *= RATE
-        d /= np.sqrt(squares, out=squares)
-        self.model.rows[rows] -= d
-        self.used[rows] += np.diff(np.append(first, len(at)))
+        d /= np.sqrt(squares)
+        rows -= d
+        self.table[used] = table
+        self.used[used] += np.diff(np.append(first, len(at)))
 
 
 def _share(x: np.ndarray) -> np.ndarray:
@@ -363,22 +373,16 @@ def _pieces(texts: list[str | None]):
         yield held
 
 
-class _Ids(dict):
-    """Numbers of the head's words; others have -1 less their shared entry."""
-
-    def __init__(self, head: Head, shared: int):
-        super().__init__(head.ids)
-        self.shared = shared
-
-    def __missing__(self, word):
-        return -1 - crc32(word) % self.shared
-
-
-def _numbered(tokens: list[list[bytes]], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(
+    tokens: list[list[bytes]], ids: dict[bytes, int], shared: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the head's words; others have -1 less their shared entry. Where
+    each text ends."""
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    numbers = np.fromiter(
-        map(ids.__getitem__, chain.from_iterable(tokens)), dtype=np.int64, count=sizes.sum()
-    )
+    words = list(chain.from_iterable(tokens))
+    numbers = np.fromiter(map(ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    others = np.flatnonzero(numbers < 0)
+    numbers[others] = [-1 - crc32(words[i]) % shared for i in others.tolist()]
     return numbers, np.cumsum(sizes)
 
 
@@ -420,14 +424,14 @@ def _trained(
     rows_before = None if start is None else start.rows
 
     def learn(batches):
-        ids, of_head = _Ids(held, shared), held.entries(shared)
+        ids, of_head = held.ids, held.entries(shared)
         trainer = Trainer(Model(log_unigram), SEED + number)
         if rows_before is not None:
             trainer.model.rows[:] = rows_before
             trainer.squares[:] = squares[:, None]
         for batch in batches:
             for tokens in _pieces(batch.column(0).to_pylist()):
-                numbers, ends = _numbered(tokens, ids)
+                numbers, ends = _numbered(tokens, ids, shared)
                 entries = _entries(numbers, of_head, held.vocabulary)
                 trainer.learn(contexts(entries, ends, trainer.model.start), entries)
         rows, used, square = trainer.model.rows, trainer.used, trainer.squares.mean(axis=1)
@@ -485,14 +489,14 @@ def _rows_scored(docs: DataFrame, head: Head, model: Model) -> DataFrame:
     log_mass[: head.vocabulary] = 0.0
 
     def score(batches):
-        ids, of_head = _Ids(held, shared), held.entries(shared)
+        ids, of_head = held.ids, held.entries(shared)
         model = Model(log_unigram)
         model.set_parameters(parameters)
         log_count = np.append(np.log10(held.counts + SMOOTHING), 0.0)  # the last: not here
         for batch in batches:
             done = 0
             for tokens in _pieces(batch.column("text").to_pylist()):
-                numbers, ends = _numbered(tokens, ids)
+                numbers, ends = _numbered(tokens, ids, shared)
                 entries = _entries(numbers, of_head, held.vocabulary)
                 before = contexts(entries, ends, model.start)
                 neural = model.log_probability(before, entries) / np.log(10) - log_mass[entries]
