@@ -393,10 +393,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, if there, is the new length of a changed text. Overlapping
     spans give one mark. Candidates are found twice, for training and for the
-    result, so that no text has to be shuffled or written.
+    result, so that no text has to be shuffled or written; for training they are
+    written, as each expression would be repeated for every use of a span.
     """
     found = candidates(docs)
-    weights = train(found.select(F.explode("spans").alias("span")))
+    spans = stored(found.select("spans"), "pii-spans")
+    weights = train(spans.select(F.explode("spans").alias("span")))
     changed = accepted(found, weights).select(
         "row", F.array_sort(_by_start(F.concat("base", "added"))).alias("spans")
     )

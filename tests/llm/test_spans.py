@@ -5,6 +5,7 @@ import string
 
 import pytest
 
+from millrace.llm.common import stored
 from millrace.llm import pii, secrets
 
 PATTERNS = [
@@ -182,3 +183,10 @@ def test_op2_digest(spark, documents):
         listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
         assert rows[doc_id].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert rows[doc_id].n_hex == sum(k == 2 for _, k, _ in spans)
+
+
+def test_each_pattern_is_searched_once_for_training(spark, odd, plan_of, monkeypatch):
+    written = []
+    monkeypatch.setattr(pii, "stored", lambda df, name: written.append(plan_of(df)) or stored(df, name))
+    pii.redact(odd)
+    assert written[0].count("regexp_extract_all(") == 6
