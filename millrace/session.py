@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -94,3 +97,27 @@ def remove_scratch(spark: SparkSession) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return store.delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Needed where Python workers cannot import it: where it is neither installed
+    on the executors nor in the folder that the driver runs in. The archive goes
+    by the shared folder.
+    """
+    name = f"{__package__}.zip"
+    if name in spark.sparkContext._python_includes:
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(package.rglob("*.py")):
+            archive.write(module, module.relative_to(package.parent))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{new_folder(spark, 'package')}/{name}")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        stream.write(packed.getvalue())
+    finally:
+        stream.close()
+    spark.sparkContext.addPyFile(path.toString())

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from millrace.operators import payment_chart
@@ -83,3 +88,36 @@ def test_sizes(input_bytes, split, partitions):
     assert settings["spark.sql.files.maxPartitionBytes"] == str(split)
     initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert settings[initial] == str(partitions)
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import functions as F
+from millrace.session import build_session, ship
+from millrace.sources.paths import literal
+
+spark = build_session("shipped", {"spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1",
+                                  "spark.driver.bindAddress": "127.0.0.1", "spark.checkpoint.dir": sys.argv[2]},
+                      master="local[2]")
+spark.sparkContext.setLogLevel("OFF")
+if sys.argv[3] == "ship":
+    ship(spark)
+    ship(spark)
+# A function of the package: workers have to import it by name.
+print(spark.range(1).select(F.udf(literal)(F.lit("a[1]"))).first()[0])
+"""
+
+
+@pytest.mark.parametrize("ship", ["ship", "no"])
+def test_the_package_reaches_workers_from_any_folder(tmp_path, ship):
+    root = str(Path(__file__).resolve().parents[1])
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", SCRIPT, root, str(tmp_path / "shared"), ship],
+        cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=120,
+    )
+    if ship == "ship":
+        assert run.stdout.strip() == r"a\[1\]", run.stderr[-2000:]
+    else:
+        assert "No module named 'millrace'" in run.stderr
