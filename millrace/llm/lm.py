@@ -279,6 +279,8 @@ class Trainer:
         self.table = np.full((len(model.rows), 2 * model.width), LEAST_SQUARE, dtype=np.float32)
         self.table[:, : model.width] = model.rows
         model.rows, self.squares = self.table[:, : model.width], self.table[:, model.width :]
+        # A row of the table as one value, which is stored in one piece.
+        self.whole = self.table.view(f"V{self.table.strides[0]}").ravel()
         # How often each row of parameters was used.
         self.used = np.zeros(len(model.rows), dtype=np.float32)
         self.shares = [np.cumsum(np.exp(noise)) for noise in (model.block_noise, model.noise)]
@@ -289,60 +291,83 @@ class Trainer:
         """Equal cases are counted once and weighed, in an order drawn at random."""
         codes, times = np.unique(self.model.coded(before, token), return_counts=True)
         before, token = self.model.split(codes)
+        model, times = self.model, times.astype(np.float32)
+        # Per case the rows of its block, its token and its context.
+        rows = np.column_stack([model.block_of[token], model.blocks + token, model.at + before])
+        rows = rows.astype(np.int32)
         for _ in range(EPOCHS):
             order = self.random.permutation(len(token))
-            for i in range(0, len(order), BATCH):
-                some = order[i : i + BATCH]
-                self.step(before[some], token[some], times[some].astype(np.float32))
+            rows, times = rows[order], times[order]
+            noise = self.noise_rows(ceil(len(token) / BATCH))
+            for k, some in enumerate(noise):
+                case = slice(k * BATCH, (k + 1) * BATCH)
+                self.step(rows[case], some, times[case])
+            used = np.append(rows.ravel(), noise.ravel())
+            self.used += np.bincount(used, minlength=len(self.used))
+
+    def noise_rows(self, steps: int) -> np.ndarray:
+        """For each step the rows of blocks, then of tokens, drawn by their shares."""
+        drawn = [
+            np.searchsorted(c, self.random.random((steps, NOISE)) * c[-1], side="right").clip(max=len(c) - 1)
+            for c in self.shares
+        ]
+        return np.concatenate([drawn[0], self.model.blocks + drawn[1]], axis=1).astype(np.int32)
 
-    def step(self, before: np.ndarray, token: np.ndarray, weight: np.ndarray) -> None:
+    def step(self, cases: np.ndarray, noise: np.ndarray, weight: np.ndarray) -> None:
         """One set of noise blocks and one of noise tokens serve the whole batch."""
-        model, n = self.model, len(token)
+        model, n = self.model, len(cases)
         weight = weight / weight.sum()
-        true = np.concatenate([model.block_of[token], model.blocks + token])
-        blocks, tokens = (
-            np.searchsorted(c, self.random.random(NOISE) * c[-1], side="right").clip(max=len(c) - 1)
-            for c in self.shares
-        )
-        noise = np.concatenate([blocks, model.blocks + tokens])
+        true = cases[:, :2].T.ravel()
         # The table is large: each of its rows is fetched and stored once a step.
-        at = np.concatenate([true, noise, *(model.at + before).T]).astype(np.int32)
+        at = np.concatenate([true, noise, cases[:, 2:].T.ravel()])
         order = np.argsort(at)
         new = np.append(True, np.diff(at[order]) != 0)
         first = np.flatnonzero(new)
         used, place = at[order[first]], np.empty(len(at), dtype=np.int64)
         place[order] = np.cumsum(new) - 1
-        table = self.table[used]
-        rows, squares = table[:, : model.width], table[:, model.width :]
-        near = np.ascontiguousarray(rows)
+        near = self.whole.take(used).view(np.float32).reshape(len(used), -1)
+        near, squares = near[:, : model.width].copy(), near[:, model.width :].copy()
 
-        vector = sum(near[place[i : i + n]] for i in range(2 * n + len(noise), len(at), n))
+        fetched = near.take(place, axis=0)
+        vector = sum(fetched[i : i + n] for i in range(2 * n + len(noise), len(at), n))
         vector[:, -1] = 1
         twice = np.concatenate([vector, vector])
-        true_rows, noise_rows = near[place[: 2 * n]], near[place[2 * n : 2 * n + len(noise)]]
+        true_rows, noise_rows = fetched[: 2 * n], fetched[2 * n : 2 * n + len(noise)]
 
         off_true = _share(np.einsum("ij,ij->i", twice, true_rows) - self.expected[true]) - 1
         off_true *= np.concatenate([weight, weight])
         off_noise = _share(vector @ noise_rows.T - self.expected[noise])
         off_noise *= weight[:, None]
 
-        d_true = off_true[:, None] * twice
+        twice *= off_true[:, None]
         true_rows *= off_true[:, None]
         d_vector = off_noise @ noise_rows + true_rows[:n] + true_rows[n:]
         d_vector[:, -1] = 0
-        d = np.concatenate([d_true, off_noise.T @ vector, *[d_vector] * CONTEXT])
-        d = np.add.reduceat(d[order], first, axis=0)
+        d = np.concatenate([twice, off_noise.T @ vector, *[d_vector] * CONTEXT])
+        d = _sums(d, order, first)
         squares += d * d
         d *= RATE
         d /= np.sqrt(squares)
-        rows -= d
-        self.table[used] = table
-        self.used[used] += np.diff(np.append(first, len(at)))
+        near -= d
+        table = np.concatenate([near, squares], axis=1)
+        self.whole.put(used, table.view(self.whole.dtype).ravel())
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows[order]`` that begin at ``first``; most are one row."""
+    sums = rows.take(order[first], axis=0)
+    sizes = np.diff(np.append(first, len(order)))
+    several = np.flatnonzero(sizes > 1)
+    if len(several):
+        starts = np.append(0, np.cumsum(sizes[several])[:-1])
+        inside = order[np.repeat(sizes > 1, sizes)]
+        sums[several] = np.add.reduceat(rows.take(inside, axis=0), starts, axis=0)
+    return sums
 
 
 def _share(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.exp(np.negative(x, out=x), out=x)
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, 30, out=x), out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
