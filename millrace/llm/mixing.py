@@ -194,18 +194,31 @@ def training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """``position_1`` and ``position_2`` are the times of a document's copies, to a
+    millionth; NULL where the mix takes no such copy."""
     plan = mix(table(spark, sf_dir, "documents"))
-    first = F.get("positions", F.lit(0))
-    return plan.orderBy(first.asc_nulls_last(), "draw", "doc_id").select(
+    place = lambda k: F.floor(F.get("positions", F.lit(k)) * 1e6).cast("double") / 1e6
+    return plan.select(
         "doc_id",
         "size",
         "source_size",
         "target",
         (F.col("size") * F.size("positions")).cast("long").alias("taken"),
+        place(0).alias("position_1"),
+        place(1).alias("position_2"),
     )
 
 
-OP3_SQL = r"""
+# The time at which a share of a source's target is asked for, by its schedule.
+_DUE_SQL = """CASE WHEN {0} IS NULL THEN NULL
+           WHEN kind = 0 THEN least(2 * {0} / (1.5 + sqrt(2.25 - 2 * {0})), 1)
+           WHEN kind = 1 THEN least({0}, 1)
+           ELSE CASE WHEN {0} * 0.875::DOUBLE <= 0.25 THEN least(2 * ({0} * 0.875::DOUBLE), 0.5)
+                ELSE least(0.5 + 2 * ({0} * 0.875::DOUBLE - 0.25)
+                           / (0.5 + sqrt(0.25 + 6 * ({0} * 0.875::DOUBLE - 0.25))), 1) END
+           END"""
+
+OP3_SQL = rf"""
 WITH sized AS (
     SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
@@ -226,15 +239,23 @@ WITH sized AS (
 ), rated AS (
     SELECT *, (wanted - caps_before) / (all_weights - weights_before) AS rate FROM ranked
 ), targets AS (
-    SELECT source, source_size, least(cap, max(rate) OVER () * weight) AS target FROM rated
+    SELECT source, source_size, place, least(cap, max(rate) OVER () * weight) AS target FROM rated
 ), lined AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target,
+    SELECT s.doc_id, s.size, t.source_size, t.target, t.place % 3 AS kind,
            s.size / 2.0::DOUBLE + coalesce(sum(s.size) OVER (
                PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS middle
     FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), asked AS (
+    SELECT *, CASE WHEN middle <= target AND target > 0 THEN middle / target
+                   WHEN middle <= target THEN 0 END::DOUBLE AS asked_1,
+           CASE WHEN middle + source_size <= target AND target > 0 THEN (middle + source_size) / target
+                WHEN middle + source_size <= target THEN 0 END::DOUBLE AS asked_2
+    FROM lined
 )
 SELECT doc_id, size, source_size, target,
-       size * ((middle <= target)::BIGINT + (middle + source_size <= target)::BIGINT) AS taken
-FROM lined
+       size * ((asked_1 IS NOT NULL)::BIGINT + (asked_2 IS NOT NULL)::BIGINT) AS taken,
+       floor({_DUE_SQL.format("asked_1")} * 1e6::DOUBLE) / 1e6::DOUBLE AS position_1,
+       floor({_DUE_SQL.format("asked_2")} * 1e6::DOUBLE) / 1e6::DOUBLE AS position_2
+FROM asked
 """

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -7,6 +8,8 @@ from millrace.llm import mixing, near_duplicates, nearest
 from millrace.llm.common import least_linked, pairs_in
 from millrace.llm.components import components
 
+SF = "/root/testdata/sf0.001"
+
 
 def plain_join(rows, similarity=0.8):
     """Class and links of each document, by comparing all with all."""
@@ -226,6 +229,19 @@ def test_each_copy_has_the_time_of_a_plain_inversion(spark, documents):
     assert copies > len(documents)
 
 
+def test_op3_gives_the_places_of_its_sql_and_of_the_mix(spark, documents):
+    rows = mixing.op3_mix_sources(spark, SF).toPandas().sort_values("doc_id")
+    with duckdb.connect() as database:
+        database.register("documents", documents)
+        expected = database.sql(mixing.OP3_SQL).df().sort_values("doc_id")
+    for name in rows.columns:
+        assert rows[name].to_numpy() == pytest.approx(expected[name].to_numpy(), abs=1e-12, nan_ok=True), name
+    positions = {r.doc_id: r.positions for r in mixing.mix(spark.createDataFrame(documents)).collect()}
+    for r in rows.itertuples():
+        places = [t for t in (r.position_1, r.position_2) if t == t]
+        assert places == pytest.approx(positions[r.doc_id], abs=1.1e-6)
+
+
 def test_mix_on_odd_rows(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 7 and {r.size for r in rows if r.doc_id in (1, 2)} == {0}
