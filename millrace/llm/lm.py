@@ -18,14 +18,14 @@ words by unigram counts, which are exact for every word.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 from math import ceil, sqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +41,8 @@ SIZE = 16
 CONTEXT = 2
 NOISE = 24
 BATCH = 512
+# Steps prepared at a time.
+STEPS = 64
 EPOCHS = 1
 RATE = 0.1
 # Training starts from the last average so often, with about so many tokens a task.
@@ -48,8 +50,9 @@ ROUNDS = 2
 TASK_TOKENS = 5_000_000
 SEED = 4
 LEAST_SQUARE = 1e-6
-# Tokens handled at a time, different words counted before they are sent.
-CHUNK_TOKENS = 150_000
+# Bytes of text handled at a time (of prose about 150,000 tokens), different words
+# counted before they are sent.
+CHUNK_BYTES = 1_000_000
 MAX_COUNTED = 300_000
 SMOOTHING = 0.1
 # The end of a text is a token; no word is empty.
@@ -65,28 +68,57 @@ def tokens_of(text: str | None) -> list[bytes]:
     return tokens
 
 
+def _tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What ``tokens_of`` gives for each text, put end to end: the different tokens,
+    each token's place among them, and where each text ends."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # A space at the end is followed by an empty word, which is the end's token.
+    spaced = pc.binary_join_element_wise(texts, "", " ")
+    tokens = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), texts, spaced))
+    ends = np.cumsum(tokens.value_lengths().to_numpy(), dtype=np.int64)
+    tokens = tokens.flatten().dictionary_encode()
+    return tokens.dictionary.cast(pa.binary()), tokens.indices.to_numpy(), ends
+
+
+def _pieces(texts: pa.Array, chunk: int = CHUNK_BYTES):
+    """Consecutive texts, about ``chunk`` bytes at a time."""
+    reach = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy() + 1, dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        done = reach[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(reach, done + chunk, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``word binary, n`` for every token of a table of one text column."""
+    counted = texts.mapInArrow(_counted, "word binary, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
-    def count(batches):
-        def rows(counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                ["word", "n"],
-            )
 
-        counts = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens_of(text))
-                if len(counts) >= MAX_COUNTED:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
-
-    counted = texts.mapInArrow(count, "word binary, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+def _counted(batches, most: int = MAX_COUNTED, chunk: int = CHUNK_BYTES):
+    """``word, n`` of the tokens in batches of one text column, sent when ``most`` are held."""
+
+    def summed(counts):
+        # One thread, as a task has one core.
+        sums = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for some in _pieces(batch.column(0), chunk):
+            words, places, _ = _tokenized(some)
+            held.append(pa.table({"word": words, "n": np.bincount(places)}))
+            size += len(words)
+            if size >= 2 * most:
+                held = [summed(held)]
+                size = len(held[0])
+            if len(held) == 1 and size >= most:
+                yield from held[0].combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from summed(held).combine_chunks().to_batches()
 
 
 @dataclass
@@ -221,45 +253,56 @@ class Model:
         self.rows = flat.reshape(self.rows.shape)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        vector = sum(self.rows[self.at[k] + before[:, k]] for k in range(CONTEXT))
+        vector = sum(self.rows.take(self.at[k] + before[:, k], axis=0) for k in range(CONTEXT))
         vector[:, -1] = 1
         return vector
 
     def coded(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Each case as one number, of 64 bits up to two million entries."""
         width = self.start + 1
-        return (before @ (width ** np.arange(CONTEXT))) * width + token
+        return sum(before[:, k] * width ** (k + 1) for k in range(CONTEXT)) + token
 
     def split(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width = self.start + 1
-        token, rest = codes % width, codes // width
-        return np.stack([rest // width**k % width for k in range(CONTEXT)], axis=1), token
+        rest, token = np.divmod(codes, self.start + 1)
+        before = np.empty((CONTEXT, len(codes)), dtype=np.int64)
+        for k in range(CONTEXT):
+            rest, before[k] = np.divmod(rest, self.start + 1)
+        return before.T, token
 
     def log_probability(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Equal cases are computed once."""
         codes, back = np.unique(self.coded(before, token), return_inverse=True)
         before, token = self.split(codes)
-        vector, block = self.predicted(before), self.block_of[token]
+        vector = self.predicted(before)
         # Cases come sorted by context, so that of its first case serves all.
         context = codes // (self.start + 1)
         new = np.append(True, context[1:] != context[:-1])[: len(codes)]
-        log_z = _log_sum(vector[new], self.rows[: self.blocks])[np.cumsum(new) - 1]
-        order = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        of_blocks = _log_sum(vector.take(np.flatnonzero(new), axis=0), self.rows[: self.blocks])
+        log_z = of_blocks.take(np.cumsum(new) - 1)
+        # Then by block. The sort of small numbers is much the faster one.
+        block = self.block_of.take(token)
+        order = np.argsort(block.astype(np.min_scalar_type(self.blocks)), kind="stable")
+        vector, block, token, log_z = (x.take(order, axis=0) for x in (vector, block, token, log_z))
+        cuts = np.searchsorted(block, np.arange(self.blocks + 1))
         for b in np.flatnonzero(np.diff(cuts)):
-            cases = order[cuts[b] : cuts[b + 1]]
+            cases = slice(cuts[b], cuts[b + 1])
             log_z[cases] += _log_sum(vector[cases], self.rows[self.cuts[b] : self.cuts[b + 1]])
-        score = np.einsum("ij,ij->i", vector, self.rows[block] + self.rows[self.blocks + token])
-        return (score - log_z).astype(float)[back]
+        rows = self.rows.take(block, axis=0)
+        rows += self.rows.take(self.blocks + token, axis=0)
+        found = np.empty(len(codes))
+        found[order] = np.einsum("ij,ij->i", vector, rows) - log_z
+        return found.take(back)
 
 
 def _log_sum(vector: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of the exponentials of each vector's products."""
     found = np.empty(len(vector), dtype=np.float32)
-    ones, step = np.ones(len(rows), dtype=np.float32), max(64, (1 << 18) // len(rows))
+    ones, step = np.ones(len(rows), dtype=np.float32), max(64, (1 << 16) // len(rows))
+    held = np.empty((min(step, len(vector)), len(rows)), dtype=np.float32)
     with np.errstate(over="ignore", divide="ignore"):
         for i in range(0, len(vector), step):
-            scores = vector[i : i + step] @ rows.T
+            some = vector[i : i + step]
+            scores = np.matmul(some, rows.T, out=held[: len(some)])
             found[i : i + step] = np.log(np.exp(scores, out=scores) @ ones)
     # Sums beyond what a float holds are shifted by the largest product.
     odd = np.flatnonzero(~np.isfinite(found))
@@ -299,9 +342,17 @@ class Trainer:
             order = self.random.permutation(len(token))
             rows, times = rows[order], times[order]
             noise = self.noise_rows(ceil(len(token) / BATCH))
-            for k, some in enumerate(noise):
-                case = slice(k * BATCH, (k + 1) * BATCH)
-                self.step(rows[case], some, times[case])
+            # Steps of full batches some at a time, then the rest.
+            full = len(token) // BATCH
+            cuts = [*range(0, full, STEPS), full, len(noise)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                cases = slice(first * BATCH, last * BATCH)
+                if last > first:
+                    self.steps(
+                        rows[cases].reshape(last - first, -1, rows.shape[1]),
+                        noise[first:last],
+                        times[cases].reshape(last - first, -1),
+                    )
             used = np.append(rows.ravel(), noise.ravel())
             self.used += np.bincount(used, minlength=len(self.used))
 
@@ -313,38 +364,65 @@ class Trainer:
         ]
         return np.concatenate([drawn[0], self.model.blocks + drawn[1]], axis=1).astype(np.int32)
 
-    def step(self, cases: np.ndarray, noise: np.ndarray, weight: np.ndarray) -> None:
+    def steps(self, cases: np.ndarray, noise: np.ndarray, weight: np.ndarray) -> None:
+        """A step per first index. Which rows each needs, and how often, is found for all at once."""
+        by_kind, n = cases.transpose(0, 2, 1), len(cases)
+        true = by_kind[:, :2].reshape(n, -1)
+        at = np.concatenate([true, noise, by_kind[:, 2:].reshape(n, -1)], axis=1)
+        order = np.argsort(at, axis=1)
+        ranked = np.take_along_axis(at, order, axis=1)
+        new = np.ones(at.shape, dtype=bool)
+        new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        # Places that share their row with a neighbour.
+        shared = ~new
+        shared[:, :-1] |= shared[:, 1:]
+        rank = np.cumsum(new, axis=1) - 1
+        place = np.empty_like(rank)
+        np.put_along_axis(place, order, rank, axis=1)
+        weight = weight / weight.sum(axis=1, keepdims=True)
+        of_true, of_noise = self.expected[true], self.expected[noise]
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                first, several = np.flatnonzero(new[k]), order[k][shared[k]]
+                starts = np.flatnonzero(new[k][shared[k]])
+                sums = order[k][first], several, starts, rank[k][shared[k]][starts]
+                self.step(ranked[k][first], place[k], sums, weight[k], of_true[k], of_noise[k])
+
+    def step(
+        self,
+        used: np.ndarray,
+        place: np.ndarray,
+        sums: tuple[np.ndarray, ...],
+        weight: np.ndarray,
+        of_true: np.ndarray,
+        of_noise: np.ndarray,
+    ) -> None:
         """One set of noise blocks and one of noise tokens serve the whole batch."""
-        model, n = self.model, len(cases)
-        weight = weight / weight.sum()
-        true = cases[:, :2].T.ravel()
+        model, n, m = self.model, len(weight), len(of_noise)
         # The table is large: each of its rows is fetched and stored once a step.
-        at = np.concatenate([true, noise, cases[:, 2:].T.ravel()])
-        order = np.argsort(at)
-        new = np.append(True, np.diff(at[order]) != 0)
-        first = np.flatnonzero(new)
-        used, place = at[order[first]], np.empty(len(at), dtype=np.int64)
-        place[order] = np.cumsum(new) - 1
         near = self.whole.take(used).view(np.float32).reshape(len(used), -1)
         near, squares = near[:, : model.width].copy(), near[:, model.width :].copy()
 
         fetched = near.take(place, axis=0)
-        vector = sum(fetched[i : i + n] for i in range(2 * n + len(noise), len(at), n))
+        vector = sum(fetched[i : i + n] for i in range(2 * n + m, len(place), n))
         vector[:, -1] = 1
         twice = np.concatenate([vector, vector])
-        true_rows, noise_rows = fetched[: 2 * n], fetched[2 * n : 2 * n + len(noise)]
+        true_rows, noise_rows = fetched[: 2 * n], fetched[2 * n : 2 * n + m]
 
-        off_true = _share(np.einsum("ij,ij->i", twice, true_rows) - self.expected[true]) - 1
+        off_true = _share(of_true - np.einsum("ij,ij->i", twice, true_rows)) - 1
         off_true *= np.concatenate([weight, weight])
-        off_noise = _share(vector @ noise_rows.T - self.expected[noise])
+        off_noise = vector @ noise_rows.T
+        off_noise = _share(np.subtract(of_noise, off_noise, out=off_noise))
         off_noise *= weight[:, None]
 
         twice *= off_true[:, None]
         true_rows *= off_true[:, None]
-        d_vector = off_noise @ noise_rows + true_rows[:n] + true_rows[n:]
+        d_vector = off_noise @ noise_rows
+        d_vector += true_rows[:n]
+        d_vector += true_rows[n:]
         d_vector[:, -1] = 0
         d = np.concatenate([twice, off_noise.T @ vector, *[d_vector] * CONTEXT])
-        d = _sums(d, order, first)
+        d = _sums(d, *sums)
         squares += d * d
         d *= RATE
         d /= np.sqrt(squares)
@@ -353,62 +431,43 @@ class Trainer:
         self.whole.put(used, table.view(self.whole.dtype).ravel())
 
 
-def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of ``rows[order]`` that begin at ``first``; most are one row."""
-    sums = rows.take(order[first], axis=0)
-    sizes = np.diff(np.append(first, len(order)))
-    several = np.flatnonzero(sizes > 1)
-    if len(several):
-        starts = np.append(0, np.cumsum(sizes[several])[:-1])
-        inside = order[np.repeat(sizes > 1, sizes)]
-        sums[several] = np.add.reduceat(rows.take(inside, axis=0), starts, axis=0)
+def _sums(
+    rows: np.ndarray, first: np.ndarray, several: np.ndarray, starts: np.ndarray, place: np.ndarray
+) -> np.ndarray:
+    """``rows[first]``; but those at ``place`` are sums of ``rows[several]`` from ``starts`` on."""
+    sums = rows.take(first, axis=0)
+    if len(starts):
+        sums[place] = np.add.reduceat(rows.take(several, axis=0), starts, axis=0)
     return sums
 
 
-def _share(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 30, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _share(minus: np.ndarray) -> np.ndarray:
+    """The logistic function of ``-minus``, in its place."""
+    np.exp(minus, out=minus)
+    minus += 1
+    return np.reciprocal(minus, out=minus)
 
 
 def contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
     """For each token of texts put end to end the tokens before it, nearest first."""
-    first = np.zeros(len(ids), dtype=bool)
-    first[0:1] = True
-    first[ends[:-1]] = True
-    since = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
-    columns = []
+    before = np.full((CONTEXT, len(ids)), start, dtype=np.int64)
+    first = np.append(0, ends[:-1])
     for k in range(1, CONTEXT + 1):
-        earlier = np.concatenate([np.full(min(k, len(ids)), start), ids[:-k]])[: len(ids)]
-        columns.append(np.where(since >= k, earlier, start))
-    return np.stack(columns, axis=1)
-
-
-def _pieces(texts: list[str | None]):
-    """Token lists of consecutive texts, about ``CHUNK_TOKENS`` at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(tokens_of(text))
-        size += len(held[-1])
-        if size >= CHUNK_TOKENS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        before[k - 1, k:] = ids[:-k]
+        for place in range(k):
+            # Beyond a shorter text this is a place of the next one that is as near its start.
+            at = first + place
+            before[k - 1, at[at < len(ids)]] = start
+    return before.T
 
 
-def _numbered(
-    tokens: list[list[bytes]], ids: dict[bytes, int], shared: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the head's words; others have -1 less their shared entry. Where
-    each text ends."""
-    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    words = list(chain.from_iterable(tokens))
+def _numbered(words: pa.Array, ids: dict[bytes, int], shared: int) -> np.ndarray:
+    """Numbers of the head's words; others have -1 less their shared entry."""
+    words = words.to_numpy(zero_copy_only=False).tolist()
     numbers = np.fromiter(map(ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
     others = np.flatnonzero(numbers < 0)
     numbers[others] = [-1 - crc32(words[i]) % shared for i in others.tolist()]
-    return numbers, np.cumsum(sizes)
+    return numbers
 
 
 def _entries(numbers: np.ndarray, of_head: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -455,9 +514,9 @@ def _trained(
             trainer.model.rows[:] = rows_before
             trainer.squares[:] = squares[:, None]
         for batch in batches:
-            for tokens in _pieces(batch.column(0).to_pylist()):
-                numbers, ends = _numbered(tokens, ids, shared)
-                entries = _entries(numbers, of_head, held.vocabulary)
+            for some in _pieces(batch.column(0)):
+                words, places, ends = _tokenized(some)
+                entries = _entries(_numbered(words, ids, shared), of_head, held.vocabulary).take(places)
                 trainer.learn(contexts(entries, ends, trainer.model.start), entries)
         rows, used, square = trainer.model.rows, trainer.used, trainer.squares.mean(axis=1)
         for part, i in enumerate(range(0, len(rows), PART)):
@@ -520,34 +579,36 @@ def _rows_scored(docs: DataFrame, head: Head, model: Model) -> DataFrame:
         log_count = np.append(np.log10(held.counts + SMOOTHING), 0.0)  # the last: not here
         for batch in batches:
             done = 0
-            for tokens in _pieces(batch.column("text").to_pylist()):
-                numbers, ends = _numbered(tokens, ids, shared)
-                entries = _entries(numbers, of_head, held.vocabulary)
+            for some in _pieces(batch.column("text")):
+                words, places, ends = _tokenized(some)
+                numbers = _numbered(words, ids, shared)
+                of_word = _entries(numbers, of_head, held.vocabulary)
+                entries, starts = of_word.take(places), np.concatenate([[0], ends[:-1]])
                 before = contexts(entries, ends, model.start)
-                neural = model.log_probability(before, entries) / np.log(10) - log_mass[entries]
+                neural = model.log_probability(before, entries) / np.log(10) - log_mass.take(entries)
                 counted = log_count[np.maximum(numbers, -1)]
-                other = entries >= held.vocabulary
-                starts = np.concatenate([[0], ends[:-1]])
+                shares = np.where(of_word >= held.vocabulary, counted, 0.0)
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                rare = [Counter() for _ in tokens]
-                outside = np.flatnonzero(numbers < 0)
+                # Words outside of the head, once per text.
+                outside = np.flatnonzero((numbers < 0).take(places))
                 text_of = np.searchsorted(ends, outside, side="right")
-                for k, i in zip(text_of.tolist(), (outside - starts[text_of]).tolist(), strict=True):
-                    rare[k][tokens[k][i]] += 1
+                rare, times = np.unique(text_of * len(words) + places[outside], return_counts=True)
+                cuts = pa.array(np.searchsorted(rare, np.arange(len(ends) + 1) * len(words)), pa.int32())
+                rare = words.take(pa.array(rare % len(words)))
                 columns = [
                     pa.array(ends - starts, pa.int64()),
-                    pa.array(total((numbers >= 0).astype(np.int64)), pa.int64()),
-                    pa.array(total(counted)),
+                    pa.array(total((numbers >= 0).astype(np.int64).take(places)), pa.int64()),
+                    pa.array(total(counted.take(places))),
                     pa.array(total(neural)),
-                    pa.array(total(np.where(other, counted, 0.0))),
-                    pa.array([list(c) for c in rare], pa.list_(pa.binary())),
-                    pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
+                    pa.array(total(shares.take(places))),
+                    pa.ListArray.from_arrays(cuts, rare),
+                    pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
                 ]
                 names = [part.split()[0] for part in ROW.split(", ")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(done, len(tokens)), *columns], ["doc_id", *names]
+                    [batch.column("doc_id").slice(done, len(some)), *columns], ["doc_id", *names]
                 )
-                done += len(tokens)
+                done += len(some)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, {ROW}")

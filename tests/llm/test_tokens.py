@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -146,6 +147,49 @@ def test_contexts_stop_at_the_start_of_a_text():
     assert lm.contexts(ids, ends, 9).tolist() == [[9, 9], [1, 9], [2, 1], [9, 9]]
 
 
+def test_tokens_of_many_texts_are_those_of_each():
+    rng = random.Random(9)
+    signs = [chr(c) for c in range(128)] + list("  \nA\x85\xa0İé")
+    texts = ["", None, " ", "a", " A", "a ", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(2000))]
+    expected = [lm.tokens_of(text) for text in texts]
+    pieces = list(lm._pieces(pa.array(texts), 300))
+    assert len(pieces) > 50 and pa.concat_arrays(pieces).to_pylist() == texts
+    for some in pieces:
+        words, places, ends = lm._tokenized(some)
+        words = words.to_pylist()
+        assert len(set(words)) == len(words)  # a word is looked up once, however often it occurs
+        cuts = [0, *ends.tolist()]
+        found = [[words[i] for i in places[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert found == expected[: len(some)]
+        del expected[: len(some)]
+
+
+@pytest.mark.parametrize("most", [lm.MAX_COUNTED, 40])
+def test_words_are_counted_in_pieces(most):
+    texts = [f"a B{i % 30} c{i} a" for i in range(1000)]
+    sent = list(lm._counted([pa.record_batch({"text": texts[:600]}), pa.record_batch({"text": texts[600:]})], most, 200))
+    counts = Counter()
+    for batch in sent:
+        for row in batch.to_pylist():
+            counts[row["word"]] += row["n"]
+    assert counts == Counter(t for text in texts for t in lm.tokens_of(text))
+    # Words are sent when many are held, and what is sent names each once.
+    assert all(len(set(b.column("word").to_pylist())) == b.num_rows for b in sent) and (len(sent) > 1) == (most == 40)
+
+
+def test_steps_prepared_together_are_those_one_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50, 5 * lm.BATCH + 100) ** 2 // 50
+    before = lm.contexts(ids, np.array([700, len(ids)]), 50)
+    found = []
+    for steps in (lm.STEPS, 2, 1):
+        monkeypatch.setattr(lm, "STEPS", steps)
+        trainer = lm.Trainer(lm.Model(np.log(np.full(50, 1 / 50))))
+        trainer.learn(before, ids)
+        found.append(trainer.table.copy())
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+
+
 def test_lm_on_odd_rows(spark, odd, none):
     fitted = lm.fit(spark, odd.select("text"))
     rows = lm.score(odd, *fitted).collect()
