@@ -273,16 +273,16 @@ class Model:
         """Equal cases are computed once."""
         codes, back = np.unique(self.coded(before, token), return_inverse=True)
         before, token = self.split(codes)
-        vector = self.predicted(before)
-        # Cases come sorted by context, so that of its first case serves all.
+        # Cases come sorted by context, so that each context is a run of them.
         context = codes // (self.start + 1)
         new = np.append(True, context[1:] != context[:-1])[: len(codes)]
-        of_blocks = _log_sum(vector.take(np.flatnonzero(new), axis=0), self.rows[: self.blocks])
-        log_z = of_blocks.take(np.cumsum(new) - 1)
+        of_context = self.predicted(before[new])
+        of_blocks = _log_sum(of_context, self.rows[: self.blocks])
         # Then by block. The sort of small numbers is much the faster one.
         block = self.block_of.take(token)
         order = np.argsort(block.astype(np.min_scalar_type(self.blocks)), kind="stable")
-        vector, block, token, log_z = (x.take(order, axis=0) for x in (vector, block, token, log_z))
+        block, token, context = block.take(order), token.take(order), (np.cumsum(new) - 1).take(order)
+        vector, log_z = of_context.take(context, axis=0), of_blocks.take(context)
         cuts = np.searchsorted(block, np.arange(self.blocks + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             cases = slice(cuts[b], cuts[b + 1])
@@ -303,7 +303,8 @@ def _log_sum(vector: np.ndarray, rows: np.ndarray) -> np.ndarray:
         for i in range(0, len(vector), step):
             some = vector[i : i + step]
             scores = np.matmul(some, rows.T, out=held[: len(some)])
-            found[i : i + step] = np.log(np.exp(scores, out=scores) @ ones)
+            np.matmul(np.exp(scores, out=scores), ones, out=found[i : i + step])
+        np.log(found, out=found)
     # Sums beyond what a float holds are shifted by the largest product.
     odd = np.flatnonzero(~np.isfinite(found))
     if len(odd):
@@ -340,7 +341,7 @@ class Trainer:
         rows = rows.astype(np.int32)
         for _ in range(EPOCHS):
             order = self.random.permutation(len(token))
-            rows, times = rows[order], times[order]
+            rows, times = rows.take(order, axis=0), times.take(order)
             noise = self.noise_rows(ceil(len(token) / BATCH))
             # Steps of full batches some at a time, then the rest.
             full = len(token) // BATCH
@@ -383,10 +384,10 @@ class Trainer:
         of_true, of_noise = self.expected[true], self.expected[noise]
         with np.errstate(over="ignore"):
             for k in range(n):
-                first, several = np.flatnonzero(new[k]), order[k][shared[k]]
-                starts = np.flatnonzero(new[k][shared[k]])
-                sums = order[k][first], several, starts, rank[k][shared[k]][starts]
-                self.step(ranked[k][first], place[k], sums, weight[k], of_true[k], of_noise[k])
+                first, several = np.flatnonzero(new[k]), np.flatnonzero(shared[k])
+                starts = np.flatnonzero(new[k].take(several))
+                sums = order[k].take(first), order[k].take(several), starts, rank[k].take(several.take(starts))
+                self.step(ranked[k].take(first), place[k], sums, weight[k], of_true[k], of_noise[k])
 
     def step(
         self,
