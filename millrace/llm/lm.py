@@ -217,8 +217,10 @@ class Model:
     at each distance. The last place of a row is the bias; contexts have 0 there.
     """
 
-    def __init__(self, log_unigram: np.ndarray, size: int = SIZE, seed: int = 3):
-        random = np.random.default_rng(seed)
+    def __init__(
+        self, log_unigram: np.ndarray, size: int = SIZE, seed: int = 3, rows: np.ndarray | None = None
+    ):
+        """With the parameters ``rows``, or as they are before training."""
         n = len(log_unigram)
         self.noise = log_unigram
         # A case costs a product per block and per entry of its block: for the least
@@ -233,10 +235,15 @@ class Model:
         self.cuts = self.blocks + np.append(first, n)
         # The first row of contexts at each distance.
         self.at = self.blocks + n + np.arange(CONTEXT) * (n + 1)
-        rows = self.blocks + n + CONTEXT * (n + 1)
-        self.rows = np.zeros((rows, size + 1), dtype=np.float32)
-        self.rows[:, :-1] = random.standard_normal((rows, size), dtype=np.float32) * 0.1
-        self.rows[: self.blocks + n, -1] = np.append(self.block_noise, log_unigram)
+        if rows is None:
+            rows = np.zeros((self.blocks + n + CONTEXT * (n + 1), size + 1), dtype=np.float32)
+            random = np.random.default_rng(seed)
+            # Part by part, as a task has little memory beside the table.
+            for i in range(0, len(rows), PART):
+                some = rows[i : i + PART, :-1]
+                some[:] = random.standard_normal(some.shape, dtype=np.float32) * 0.1
+            rows[: self.blocks + n, -1] = np.append(self.block_noise, log_unigram)
+        self.rows = rows
 
     @property
     def start(self) -> int:
@@ -510,9 +517,8 @@ def _trained(
 
     def learn(batches):
         ids, of_head = held.ids, held.entries(shared)
-        trainer = Trainer(Model(log_unigram), SEED + number)
-        if rows_before is not None:
-            trainer.model.rows[:] = rows_before
+        trainer = Trainer(Model(log_unigram, rows=rows_before), SEED + number)
+        if squares is not None:
             trainer.squares[:] = squares[:, None]
         for batch in batches:
             for some in _pieces(batch.column(0)):
@@ -568,15 +574,14 @@ def _rows_scored(docs: DataFrame, head: Head, model: Model) -> DataFrame:
     probabilities, for a word of a shared entry per smoothed count of the entry,
     and ``other`` of the smoothed counts of such words.
     """
-    log_unigram, parameters = model.noise, model.parameters()
+    log_unigram, rows = model.noise, model.rows
     held, shared = head, model.start - head.vocabulary
     log_mass = np.log10(head.entries_total(shared)) + log_unigram / np.log(10)
     log_mass[: head.vocabulary] = 0.0
 
     def score(batches):
         ids, of_head = held.ids, held.entries(shared)
-        model = Model(log_unigram)
-        model.set_parameters(parameters)
+        model = Model(log_unigram, rows=rows)
         log_count = np.append(np.log10(held.counts + SMOOTHING), 0.0)  # the last: not here
         for batch in batches:
             done = 0

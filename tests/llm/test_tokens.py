@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -177,6 +178,20 @@ def test_words_are_counted_in_pieces(most):
     assert all(len(set(b.column("word").to_pylist())) == b.num_rows for b in sent) and (len(sent) > 1) == (most == 40)
 
 
+def test_a_model_takes_little_memory_beside_its_table():
+    log_unigram = np.log(np.full(20_000, 1 / 20_000))
+    tracemalloc.start()
+    try:
+        model = lm.Model(log_unigram)
+        size, peak = tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        lm.Model(log_unigram, rows=model.rows)
+        with_rows = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * model.rows.nbytes and with_rows < size + 0.5 * model.rows.nbytes
+
+
 def test_steps_prepared_together_are_those_one_at_a_time(monkeypatch):
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 50, 5 * lm.BATCH + 100) ** 2 // 50
